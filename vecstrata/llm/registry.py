@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import secrets, sharding, url_filter
+from . import bpe, decontaminate, secrets, sharding, substrings, url_filter
 from .shared import table
 
 QUERIES = {
     "op3_rendezvous_sharding": lambda spark, sf: sharding.documents_query(table(spark, sf, "documents")),
+    "op5_decontaminate": lambda spark, sf: decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark")),
+    "op6_bpe": lambda spark, sf: bpe.digests(table(spark, sf, "documents"), bpe.default_path()),
     "op7_url_filter": lambda spark, sf: url_filter.pages_query(table(spark, sf, "pages")),
     "op9_secret_scan": lambda spark, sf: secrets.documents_query(table(spark, sf, "documents")),
+    "op10_substring_dedup": lambda spark, sf: substrings.documents_query(table(spark, sf, "documents")),
 }
 
 ORACLE = {"op7_url_filter": url_filter.SQL}

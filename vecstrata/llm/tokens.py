@@ -148,4 +148,4 @@ def minimum_of(values: np.ndarray, width: int) -> np.ndarray:
 
 def text_bytes(df, column: str = "text") -> int:
     """Bytes of the frame's source by the optimizer's statistics, which grow with the files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
