@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, secrets, sharding, substrings, url_filter
+from . import bpe, decontaminate, near_vectors, ngram_join, secrets, sharding, substrings, url_filter
 from .shared import table
 
 QUERIES = {
+    "op1_near_vectors": lambda spark, sf: near_vectors.near_duplicates(table(spark, sf, "embeddings").select("vec_id", "embedding")),
     "op3_rendezvous_sharding": lambda spark, sf: sharding.documents_query(table(spark, sf, "documents")),
+    "op4_ngram_join": lambda spark, sf: ngram_join.join(table(spark, sf, "documents")),
     "op5_decontaminate": lambda spark, sf: decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark")),
     "op6_bpe": lambda spark, sf: bpe.digests(table(spark, sf, "documents"), bpe.default_path()),
     "op7_url_filter": lambda spark, sf: url_filter.pages_query(table(spark, sf, "pages")),

@@ -77,3 +77,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def paired_blocks(df: DataFrame, group: str, member: str, size: int) -> DataFrame:
+    """Deal each group of two or more in blocks of about ``size`` rows; one row for each pair of blocks it is in.
+
+    Adds ``own`` (the row's block), ``i <= j`` (the pair) and ``task``, a hash that deals pairs to tasks.
+    """
+    sizes = cut(df.groupBy(group).agg(F.count("*").alias("_n")).where("_n > 1"), "sizes")
+    dealt = df.join(sizes, group).withColumn("_blocks", F.ceil(F.col("_n") / size)).withColumn("own", F.pmod(F.xxhash64(member), F.col("_blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("_other")
+    both = dealt.select("*", other).withColumns({"i": F.least("own", "_other"), "j": F.greatest("own", "_other")})
+    tasks = 4 * shuffle_partitions(df.sparkSession)
+    return both.withColumn("task", F.pmod(F.xxhash64(group, "i", "j"), F.lit(tasks))).drop("_n", "_blocks", "_other")
