@@ -1,6 +1,58 @@
-STAGES = []
+"""The corpus pipeline: five stages, each over everything that the one before it kept."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vecstrata.llm import bpe, decontaminate, ngram_join, quality, secrets
+from vecstrata.llm.shared import cut, table
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labelled training fold, accepts."""
+    net = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), quality.fold() != 1)
+    return quality.classify(docs, net, "_score").where("_score >= 0.5").drop("_score")
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near duplicates the document with the smallest id stays."""
+    others = ngram_join.join(docs).where("component_id <> doc_id").select("doc_id")
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share too much with the benchmark go."""
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
+    return docs.join(found.where("contaminated").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All secrets found are replaced; ``n_chars`` follows the text."""
+    clean = secrets.redact(secrets.scan(docs)).select(*docs.columns)
+    return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text and digests of the ids and of the text decoded from them."""
+    return bpe.digests(docs, bpe.default_path())
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("near_duplicates", drop_copies),
+    ("decontamination", drop_contaminated),
+    ("secrets", redact_secrets),
+    ("bpe", tokenize),
+]
+
+#: SQL cannot state the classifier; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

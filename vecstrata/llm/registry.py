@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, near_vectors, ngram_join, secrets, sharding, substrings, url_filter
+from . import bpe, decontaminate, near_vectors, ngram_join, quality, secrets, sharding, substrings, url_filter
 from .shared import table
 
 QUERIES = {
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_decontaminate": lambda spark, sf: decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark")),
     "op6_bpe": lambda spark, sf: bpe.digests(table(spark, sf, "documents"), bpe.default_path()),
     "op7_url_filter": lambda spark, sf: url_filter.pages_query(table(spark, sf, "pages")),
+    "op8_quality": lambda spark, sf: quality.documents_query(table(spark, sf, "documents"), table(spark, sf, "labels")),
     "op9_secret_scan": lambda spark, sf: secrets.documents_query(table(spark, sf, "documents")),
     "op10_substring_dedup": lambda spark, sf: substrings.documents_query(table(spark, sf, "documents")),
 }
