@@ -27,7 +27,7 @@ from .tokens import text_slices
 
 WIDTH, FILTERS, HOP, LAGS = 4, 8, 64, 24
 SAMPLE, SAMPLE_BYTES = 3000, 20_000
-EPOCHS, BATCH, RATE, SEED = 8, 250, 0.03, 5
+STEPS, BATCH, RATE, SEED = 96, 250, 0.03, 5
 
 
 def byte_classes() -> tuple[np.ndarray, int]:
@@ -160,7 +160,8 @@ def fit(texts: list[bytes], labels: np.ndarray) -> Network:
     for b in batches:
         offsets = np.concatenate([[0], np.cumsum([len(texts[i]) for i in b])]).astype(np.int64)
         laid.append(Layout.of(np.frombuffer(b"".join(texts[i] for i in b), np.uint8), offsets))
-    for epoch in range(EPOCHS):
+    epochs = -(-STEPS // len(batches))
+    for epoch in range(epochs):
         for at in rng.permutation(len(batches)):
             b, x = batches[at], laid[at]
             if not len(x.full):
@@ -190,7 +191,7 @@ def fit(texts: list[bytes], labels: np.ndarray) -> Network:
                 for j in range(WIDTH):
                     grads[0][j, :, f] = np.bincount(x.tokens[pos + j], share, TOKENS)
             step += 1
-            rate = RATE * (1 - epoch / EPOCHS) + 0.002
+            rate = RATE * (1 - epoch / epochs) + 0.002
             for p, g, mi, vi in zip(params, grads, m, v, strict=True):
                 mi += 0.1 * (g - mi)
                 vi += 0.01 * (g * g - vi)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, near_vectors, ngram_join, quality, secrets, sharding, substrings, url_filter
+from . import bpe, decontaminate, language_model, near_vectors, ngram_join, quality, secrets, sharding, substrings, url_filter
 from .shared import table
 
 QUERIES = {
     "op1_near_vectors": lambda spark, sf: near_vectors.near_duplicates(table(spark, sf, "embeddings").select("vec_id", "embedding")),
+    "op2_language_model": lambda spark, sf: language_model.documents_query(table(spark, sf, "documents")),
     "op3_rendezvous_sharding": lambda spark, sf: sharding.documents_query(table(spark, sf, "documents")),
     "op4_ngram_join": lambda spark, sf: ngram_join.join(table(spark, sf, "documents")),
     "op5_decontaminate": lambda spark, sf: decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark")),
