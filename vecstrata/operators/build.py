@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import IndexParams
+from .knn import ordered_distance
 from .points import check_vectors, make_points
 
 CANDIDATES = "shard int, layer int, node long, nid long, dist double, rank int, kept boolean"
@@ -42,13 +43,6 @@ def shard_of(vec_id: Column, shards: int) -> Column:
     return F.pmod(F.xxhash64(vec_id), F.lit(shards)).cast("int")
 
 
-def ordered_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Distances of matching rows, each a left-to-right sum of squares."""
-    if not len(a):
-        return np.zeros(0)
-    return np.sqrt(np.add.accumulate((a - b) ** 2, axis=1)[:, -1])
-
-
 def nearest_before(vectors: np.ndarray, ids: np.ndarray, own: int, ef: int, spare: int = 16, block: int = 1024):
     """For rows ``own..`` the ``ef`` nearest rows of smaller position, by (distance, id).
 

@@ -2,31 +2,72 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import l2
+from ..functions import is_finite, l2
 
-#: Most queries broadcast at once; larger sets are answered block by block.
+#: Most queries sent to the tasks at once; larger sets are answered block by block.
 QUERY_BLOCK = 20_000
+SPARE = 16
+
+
+def ordered_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of matching rows, each a left-to-right sum of squares."""
+    if not len(a):
+        return np.zeros(0)
+    return np.sqrt(np.add.accumulate((a - b) ** 2, axis=1)[:, -1])
+
+
+def nearest_in_batch(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int, keep_self: bool):
+    """Per query the k nearest rows of a batch: a matrix product picks a few more, exact distances order them."""
+    rough = (x * x).sum(axis=1)[None, :] - 2.0 * (q @ x.T)
+    take = min(len(ids), k + SPARE + (not keep_self))
+    near = np.argpartition(rough, take - 1, axis=1)[:, :take] if take < len(ids) else np.broadcast_to(np.arange(len(ids)), (len(q), len(ids)))
+    row = np.repeat(np.arange(len(q)), take)
+    at = near.ravel()
+    dist = ordered_distance(q[row], x[at])
+    if not keep_self:
+        ok = qids[row] != ids[at]
+        row, at, dist = row[ok], at[ok], dist[ok]
+    order = np.lexsort((ids[at], dist, row))
+    row, at, dist = row[order], at[order], dist[order]
+    first = np.searchsorted(row, np.arange(len(q)))
+    keep = np.arange(len(row)) - first[row] < k
+    return qids[row[keep]], ids[at[keep]], dist[keep]
 
 
 def exact(points: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", keep_self: bool = True) -> DataFrame:
     """``qid, nid, dist, rank``: the k nearest points by (distance, id) for each query.
 
-    The query block is the broadcast side and is bounded by ``QUERY_BLOCK`` rows, so points are
-    scanned in place; the ranking window is cut to k rows for each query before its shuffle.
+    Points are scanned in place; a block of at most ``QUERY_BLOCK`` queries goes to every task.
+    Each batch keeps k rows for a query, so the ranking shuffles k rows for a query and batch.
+    Rows without a finite vector are no neighbours and no queries.
     """
-    q = queries.select("qid", F.col("embedding").alias("qv"))
-    p = points.select(F.col("vec_id").alias("nid"), F.col(vector).alias("pv"))
-    n = q.limit(QUERY_BLOCK + 1).count()
-    blocks = 1 if n <= QUERY_BLOCK else -(-q.count() // QUERY_BLOCK)
+    spark = points.sparkSession
+    q = queries.select("qid", "embedding").where(is_finite(F.col("embedding")))
+    n = q.count()
+    blocks = max(1, -(-n // QUERY_BLOCK))
+    p = points.select(F.col("vec_id").alias("nid"), F.col(vector).alias("pv")).where(is_finite(F.col(vector)))
     out = None
     for b in range(blocks):
         part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
-        pairs = p.crossJoin(F.broadcast(part)).select("qid", "nid", l2(F.col("qv"), F.col("pv")).alias("dist"))
-        if not keep_self:
-            pairs = pairs.where(F.col("qid") != F.col("nid"))
+        rows = part.collect()  # one bounded block
+        block = spark.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)))
+
+        def run(batches, block=block):
+            qids, qv = block.value
+            for batch in batches:
+                for lo in range(0, len(batch), 4096):
+                    part = batch.slice(lo, 4096)
+                    x = np.array(part.column("pv").to_pylist(), np.float64)
+                    for at in range(0, len(qids), 512):
+                        made = nearest_in_batch(part.column("nid").to_numpy(), x, qids[at : at + 512], qv[at : at + 512], k, keep_self)
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in made], names=["qid", "nid", "dist"])
+
+        pairs = p.mapInArrow(run, "qid long, nid long, dist double")
         out = pairs if out is None else out.unionByName(pairs)
     return top_k(out, k)
 

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import knn
-from .build import Index, decode, ordered_distance
+from .build import Index, decode
+from .knn import ordered_distance
 
 
 def beam(vectors: np.ndarray, links: list, query: np.ndarray, entry: list[tuple[float, int]], ids: np.ndarray, ef: int) -> list[tuple[float, int, int]]:
@@ -79,15 +80,20 @@ def with_adjacency(index: Index) -> DataFrame:
 def ann(index: Index, queries: DataFrame, k: int, ef: int) -> DataFrame:
     """``qid, nid, dist, rank`` by approximate search; queries are quantized like points.
 
-    Each query visits every shard; only k rows for each query and shard leave a task.
+    Each query visits every shard; only k rows for each query and shard leave a task.  Where shards are
+    fewer than tasks, queries are dealt in blocks and a shard is sent to the tasks of all its blocks.
     """
     if ef < k:
         raise ValueError("ef must be k or more, else a result can hold fewer than k rows")
-    asked = queries.select("qid", "embedding").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(index.shards - 1))))
+    tasks = queries.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, tasks // index.shards)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select("qid", "embedding", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("block")).withColumn("shard", every(index.shards))
     found = (
         with_adjacency(index)
-        .groupBy("shard")
-        .cogroup(asked.groupBy("shard"))
+        .withColumn("block", every(blocks))
+        .groupBy("shard", "block")
+        .cogroup(asked.groupBy("shard", "block"))
         .applyInPandas(lambda n, q: search_shard(n, q, k, ef) if len(n) and len(q) else pd.DataFrame({"qid": [], "nid": [], "dist": []}), "qid long, nid long, dist double")
     )
     return knn.top_k(found, k)
