@@ -12,7 +12,10 @@ from vecstrata.llm.shared import cut, table
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled training fold, accepts."""
     net = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), quality.fold() != 1)
-    return quality.classify(docs, net, "_score").where("_score >= 0.5").drop("_score")
+    name = "_score"
+    while name in docs.columns:
+        name += "_"
+    return quality.classify(docs, net, name).where(F.col(name) >= 0.5).drop(name)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +32,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All secrets found are replaced; ``n_chars`` follows the text."""
-    clean = secrets.redact(secrets.scan(docs)).select(*docs.columns)
-    return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    clean = secrets.redact(secrets.scan(held))
+    made = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return clean.select(*[made.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ Documents with equal sets are one class throughout; only classes are compared.
 is dealt out in pairs of blocks, and no pair is emitted but spanning links.
 
 NULL and empty texts, and texts without words, have no shingles and link with nothing; fewer words
-than five make one shingle.  An empty table gives no rows.
+than five make one shingle.  Rows without a doc_id have no result.  An empty table gives no rows.
 """
 
 from __future__ import annotations

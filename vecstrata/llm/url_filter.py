@@ -63,6 +63,7 @@ def bounds(rules: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
     """Add ``host, path, rule, verdict`` to every row of ``pages``."""
     spark = pages.sparkSession
+    pages = pages.drop("host", "path", "rule", "verdict")  # replaced by the columns of these names
     host, path = url_parts(F.col(url))
     tasks = shuffle_partitions(spark)
     rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row"), host.alias("host"), path.alias("path"))
