@@ -1,0 +1,264 @@
+import math
+import zlib
+
+import brute
+import numpy as np
+import pytest
+from oracle import connect, differences
+from pyspark.sql import functions as F
+
+from vecstrata.llm import bpe, decontaminate, language_model, near_vectors, ngram_join, quality, secrets, sharding, substrings, url_filter
+from vecstrata.llm.registry import ORACLE
+from vecstrata.llm.shared import components
+
+
+def rows(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+# 1. near vectors
+
+
+def vectors_by_brute(vectors, threshold=0.9):
+    usable = {i: np.array(v, float) / np.linalg.norm(v) for i, v in vectors if v and all(x is not None and math.isfinite(x) for x in v) and any(v)}
+    ids = sorted(i for i, _ in vectors)
+    near = {i: [j for j in ids if j != i and i in usable and j in usable and len(usable[i]) == len(usable[j]) and usable[i] @ usable[j] >= threshold] for i in ids}
+    label = {i: i for i in ids}
+    for _ in ids:
+        label = {i: min([label[i], *(label[j] for j in near[i])]) for i in ids}
+    return sorted((i, len(near[i]), label[i], label[i] == i) for i in ids)
+
+
+def test_near_vectors_odd_rows(spark):
+    rng = np.random.default_rng(0)
+    base = rng.normal(size=(4, 16))
+    vectors = [(10 * g + j, (base[g] + 0.05 * rng.normal(size=16)).tolist()) for g in range(4) for j in range(5)]
+    vectors += [(100, vectors[0][1]), (101, vectors[0][1]), (102, [0.0] * 16), (103, None), (104, [math.nan] * 16), (105, []), (106, [1.0] * 8), (107, [1.0, None] + [0.0] * 14)]
+    df = spark.createDataFrame([(i, v, "x") for i, v in vectors], "vec_id long, embedding array<double>, rep string")
+    assert rows(near_vectors.near_duplicates(df)) == vectors_by_brute(vectors)
+    assert rows(near_vectors.near_duplicates(df.limit(0))) == []
+
+
+def test_dense_group_counts_all_links(spark):
+    rng = np.random.default_rng(1)
+    center = rng.normal(size=32)
+    vectors = [(i, (center + 0.05 * rng.normal(size=32)).tolist()) for i in range(150)] + [(200 + i, rng.normal(size=32).tolist()) for i in range(50)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    assert rows(near_vectors.near_duplicates(df, window=8)) == vectors_by_brute(vectors)
+
+
+# 2. language model
+
+
+def test_language_model(spark, odd_docs, odd_rows, no_docs, real, sf):
+    want = brute.unigram(sorted(real.items()))
+    got = rows(language_model.documents_query(spark.read.parquet(f"{sf}/documents.parquet")))
+    for w, g in zip(want, got, strict=True):
+        assert w[:5] == g[:5] and g[5] == pytest.approx(w[5], rel=1e-9)
+        assert g[6] < 0 and math.isfinite(g[6])
+    odd = rows(language_model.documents_query(odd_docs))
+    assert [(r[0], r[2]) for r in odd] == sorted((i, len((t or "").encode().split()) + 1) for i, t in odd_rows)
+    assert all(math.isfinite(r[6]) and r[6] <= 0 for r in odd)
+    assert rows(language_model.documents_query(no_docs)) == []
+
+
+def test_word_probabilities_are_proper():
+    """All spellings of a tiny space have a total probability of at most one."""
+    s = language_model.Spelling()
+    words = [b""] + [bytes([a]) for a in range(256) if a != 0x20 and not 0x41 <= a <= 0x5A]
+    data, size = np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words])
+    start = language_model.starts_of(size)
+    s.count(data, start[:90], size[:90])
+    total = np.exp2(-s.bits(data, start, size)).sum()
+    assert 0 < total <= 1 + 1e-6
+
+
+def test_burst_expert_matches_urn():
+    logs, tf = np.log2(np.array([0.1, 0.02])), np.array([3.0, 1.0])
+    got = language_model.expert_bits(logs, tf, np.array([0]), np.array([4.0]), 30.0)[0]
+    p, seen, want = [0.1, 0.02], [0, 0], 0.0
+    for t, w in enumerate([0, 1, 0, 0]):
+        want += math.log2((30 * p[w] + seen[w]) / (30 + t))
+        seen[w] += 1
+    assert got == pytest.approx(want, abs=1e-9)
+
+
+# 3. sharding
+
+
+def test_sharding(odd_docs, odd_rows, no_docs, spark):
+    got = rows(sharding.documents_query(odd_docs))
+    assert len(got) == len(odd_rows)
+    size = {i: len((t or "").encode()) + 8 for i, t in odd_rows}
+    crc = {i: zlib.crc32((t or "").encode()) for i, t in odd_rows}
+    for i, n, c, law, shard, _, grown in got:
+        assert (n, c, law) == (size[i], crc[i], "key") and grown in (shard, 24)
+    for s in {r[4] for r in got}:
+        assert sorted(r[5] for r in got if r[4] == s) == list(range(sum(r[4] == s for r in got)))
+    assert rows(sharding.documents_query(no_docs)) == []
+    many = spark.range(20_000).select(F.col("id").alias("k"))
+    counts = {r[0]: r[1] for r in sharding.assign(many, "k", [1.0, 1.0, 2.0, 0.0]).groupBy("shard").count().collect()}
+    assert 3 not in counts and abs(counts[2] - 10_000) < 500 and abs(counts[0] - 5_000) < 400
+    moves = sharding.moved(many, "k", [1.0] * 4, [1.0] * 5).where("old_shard <> new_shard").collect()
+    assert {r[1] for r in moves} == {4}
+    assert sharding.assign(spark.createDataFrame([(None,)], "k long"), "k", [1.0, 1.0]).first()["shard"] is not None
+
+
+# 4. n-gram join
+
+
+def test_ngram_join(odd_docs, odd_rows, no_docs, real, spark, sf):
+    unique = list({i: t for i, t in odd_rows}.items())
+    want = sorted(brute.near_groups(unique) + [x for x in brute.near_groups(unique) if x[0] == 13])
+    assert rows(ngram_join.join(odd_docs)) == want
+    assert rows(ngram_join.join(no_docs)) == []
+    assert rows(ngram_join.join(spark.read.parquet(f"{sf}/documents.parquet"))) == sorted(brute.near_groups(sorted(real.items())))
+
+
+def test_ngram_join_finds_links_at_the_threshold(spark):
+    words = [f"w{i}" for i in range(400)]
+    docs = [(0, " ".join(words))]
+    for i in range(1, 60):
+        w = list(words)
+        w[(7 * i) % 390] = f"changed{i}"
+        for j in range(i % 9):
+            w[(31 * i + 40 * j) % 400] = f"more{i}x{j}"
+        docs.append((i, " ".join(w)))
+    got = rows(ngram_join.join(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)))
+    assert got == sorted(brute.near_groups(docs))
+
+
+# 5. decontamination
+
+
+def test_decontamination(odd_docs, odd_rows, no_docs, spark, real, sf):
+    items = [("a", PASSAGE_ITEM), ("b", "one two"), ("c", None), ("d", ""), ("e", "One, TWO"), ("f", "fox jumps over the lazy dog again and again today x y z end")]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    want = sorted(brute.decontaminated(odd_rows, items))
+    assert rows(decontaminate.contamination(odd_docs, bench)) == want
+    assert set(rows(decontaminate.contamination(odd_docs, bench, block_bytes=40))) == set(want)
+    assert rows(decontaminate.contamination(no_docs, bench)) == []
+    assert {r[2] for r in rows(decontaminate.contamination(odd_docs, bench.limit(0)))} == {0}
+    table = spark.read.parquet(f"{sf}/benchmark.parquet")
+    want = brute.decontaminated(sorted(real.items()), [(r["item_id"], r["text"]) for r in table.collect()])
+    assert rows(decontaminate.contamination(spark.read.parquet(f"{sf}/documents.parquet"), table)) == sorted(want)
+
+
+PASSAGE_ITEM = " ".join(f"shared{i}" for i in range(5, 30))
+
+
+# 6. BPE
+
+
+@pytest.fixture(scope="module")
+def library():
+    tokenizers = pytest.importorskip("tokenizers")
+    return tokenizers.Tokenizer.from_file(bpe.default_path())
+
+
+def test_bpe_matches_the_library(odd_docs, odd_rows, no_docs, library, real):
+    got = {r[0]: r for r in rows(bpe.digests(odd_docs, bpe.default_path()))}
+    for i, t in odd_rows:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        assert got[i][1:] == (len(ids), brute.sha(np.array(ids, "<u4").tobytes()), brute.sha(library.decode(ids, skip_special_tokens=False).encode()))
+    assert rows(bpe.digests(no_docs, bpe.default_path())) == []
+
+
+def test_bpe_stream_is_bounded_and_exact(monkeypatch, library, real):
+    e = bpe.Encoder(bpe.read_vocabulary(bpe.default_path()))
+    monkeypatch.setattr(bpe, "CHUNK", 37)
+    texts = [*list(real.values())[:40], "ab" * 3000 + " q", " " * 700 + "z", "é" * 900, "9" * 500, "=-" * 400, "don't we'll 'l 'll  x", "\n\n\n  a"]
+    for t in texts:
+        assert e.encode(t).tolist() == library.encode(t, add_special_tokens=False).ids
+        assert e.decode(e.encode(t)) == t
+    stream = bpe.PairStream(e.vocab)
+    for _ in range(40):
+        stream.push(b"abracadabra" * 10)
+        assert len(stream.buffer) <= 8 * e.vocab.lookahead
+
+
+def test_bpe_round_trip_frames(spark):
+    df = spark.createDataFrame([(1, "Hello wörld"), (2, None)], "ids long, text string").withColumnRenamed("ids", "k")
+    both = bpe.decode(bpe.encode(df, bpe.default_path()), bpe.default_path(), to="back")
+    assert rows(both.select("k", "back")) == [(1, "Hello wörld"), (2, "")]
+
+
+# 7. URL filter
+
+
+def test_url_filter(spark, sf):
+    con = connect(sf)
+    urls = ["https://a.example.org/es/1", "http://EXAMPLE.org/en/12?q", "x.org/es/", None, "", "ftp://com/fr/", "http://com.evil.net/fr/", "http://sub.com/de/#x", "http://org", "http://org/", "://", "http://.org/", "http://example.org/es", "http://notexample.org/es/"]
+    df = spark.createDataFrame([(i, u, "p", "q") for i, u in enumerate(urls)], "page_id long, url string, path string, stack string")
+    con.execute("CREATE OR REPLACE VIEW pages AS SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, {'NULL' if u is None else repr(u)})" for i, u in enumerate(urls)) + ") t(page_id, url)")
+    assert differences(url_filter.pages_query(df), con, ORACLE["op7_url_filter"]) == ""
+    assert "stack" in url_filter.judge(df, url_filter.rule_table(spark)).columns
+    assert rows(url_filter.pages_query(df.limit(0))) == []
+    assert {r[4] for r in rows(url_filter.judge(df.select("page_id", "url"), url_filter.rule_table(spark).limit(0)).select("page_id", "url", "host", "path", "verdict"))} == {"allow"}
+
+
+# 8. quality
+
+
+def test_quality(spark, odd_docs, no_docs):
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    got = quality.documents_query(docs, labels).join(labels, "doc_id").where("held_out")
+    right = got.agg(F.avg((F.col("predicted") == F.col("quality")).cast("double")), F.count("*")).first()
+    assert right[1] > 500 and right[0] > 0.97
+    net = quality.train(docs, labels, quality.fold() != 1)
+    odd = quality.classify(odd_docs, net)
+    assert all(0 <= r["score"] <= 1 for r in odd.collect()) and set(odd.columns) == set(odd_docs.columns)
+    assert rows(quality.classify(no_docs, net)) == []
+    assert {r[2] for r in rows(quality.documents_query(odd_docs, labels.limit(0)))} == {0.5}
+
+
+# 9. secrets
+
+
+def test_secrets(odd_docs, odd_rows, no_docs, real, spark, sf):
+    for docs, texts in ((odd_docs, dict(odd_rows)), (spark.read.parquet(f"{sf}/documents.parquet"), real)):
+        for r in secrets.documents_query(docs).collect():
+            base = brute.base_spans(texts[r["doc_id"]])
+            assert r["base_sha256"] == brute.sha(base.encode())
+            assert set(filter(None, base.split(","))) <= set(r["spans"].split(","))
+    assert rows(secrets.documents_query(no_docs)) == []
+
+
+def test_secret_battery(spark):
+    texts = [
+        (1, "key Zx9Qm2Lr7Tb4Wc8Vn1Ks6Hd3Fp5Gj0 end"),
+        (2, "thequickbrownfoxjumpsoverthelazydog and counterrevolutionaries2 aaaaaaaaaaaaaaaaaaaaaaa1"),
+        (3, "x " + "gh12" * 10),
+    ]
+    got = {r[0]: r[5] for r in rows(secrets.documents_query(spark.createDataFrame(texts, "doc_id long, text string")))}
+    assert got[1].startswith("random:4:") and got[2] == ""
+
+
+def test_redaction(spark):
+    df = spark.createDataFrame([(1, "é password=abcdefghijklmnop!"), (2, "clean"), (3, None)], "doc_id long, text string")
+    assert [r[1] for r in sorted(tuple(x) for x in secrets.redact(secrets.scan(df)).select("doc_id", "text").collect())] == ["é [SECRET]!", "clean", None]
+
+
+# 10. substrings
+
+
+def test_substrings(odd_docs, odd_rows, no_docs, spark, real, sf):
+    assert rows(substrings.documents_query(odd_docs)) == sorted(brute.without_repeats(odd_rows))
+    assert rows(substrings.documents_query(no_docs)) == []
+    assert rows(substrings.documents_query(spark.read.parquet(f"{sf}/documents.parquet"))) == sorted(brute.without_repeats(sorted(real.items())))
+
+
+# shared
+
+
+def test_components(spark):
+    rng = np.random.default_rng(2)
+    links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(int(a), int(b)) for a, b in rng.integers(200, 400, (150, 2))]
+    up = {x: x for p in links for x in p}
+    for _ in up:
+        for a, b in links:
+            up[a] = up[b] = min(up[a], up[b])
+    got = dict(rows(components(spark.createDataFrame(links, "a long, b long"))))
+    assert got == {x: y for x, y in up.items() if any(x in p and p[0] != p[1] for p in links)}
+    assert rows(components(spark.createDataFrame([], "a long, b long"))) == []
