@@ -30,7 +30,7 @@ from .tokens import SPACED, U, minimum_of, mix, text_bytes, text_slices, words
 
 WINDOW, SEED = 50, 16
 BUCKET_BYTES, LEAST_BUCKETS = 3 << 20, 48
-PART_WINDOWS = 3_000_000
+PART_WINDOWS = 1_000_000
 RUN = np.dtype([("doc", "<i8"), ("at", "<i4"), ("size", "<i4")])
 MAPPED = "bucket int, runs binary, edges binary, spans binary"
 SPANS = "doc_id long, start int, end int"
