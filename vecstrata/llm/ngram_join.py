@@ -30,8 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .near_vectors import Forest
-from .shared import components, cut, paired_blocks
+from .shared import Forest, components, cut, paired_blocks
 from .tokens import SPACED, U, mix, text_bytes, text_slices, words
 
 SHINGLE, PERCENT, ORDERS, BLOCK = 5, 80, 3, 1024

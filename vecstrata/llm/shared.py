@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,21 +39,62 @@ def drop_cut(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Forest:
+    """Union-find that remembers only the links that joined two trees."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+        self.links: list[tuple[int, int]] = []
+
+    def find(self, x: int) -> int:
+        up = self.up
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    def join(self, a: int, b: int) -> None:
+        x, y = self.find(a), self.find(b)
+        if x != y:
+            self.up[max(x, y)] = min(x, y)
+            self.links.append((a, b))
+
+
+def contracted(links: DataFrame) -> DataFrame:
+    """``u, v``: links that join the same nodes, at most one for each node and task."""
+
+    def run(batches):
+        forest = Forest()
+        for batch in batches:
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                forest.join(a, b)
+            if len(forest.up) > 500_000:
+                yield from flat(forest)
+                forest = Forest()
+        yield from flat(forest)
+
+    def flat(forest):
+        pairs = [(x, forest.find(x)) for x in list(forest.up)]
+        pairs = [p for p in pairs if p[0] != p[1]]
+        if pairs:
+            u, v = zip(*pairs, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return links.select("a", "b").where("a <> b").mapInArrow(run, "u long, v long")
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """``id, label`` of all ends of ``links(a, b)``: label is the smallest id reachable.
 
-    Alternating large-star and small-star rounds.  Every round's edge list is written, the next
-    one reads it, and both join sides are plain scans, so a hub's rows can be split by the engine.
+    Tasks contract their links first.  Then alternating large-star and small-star rounds run until every
+    node has one smaller neighbour that is itself a root.  Every round's edge list is written, the
+    next one reads it, and both join sides are plain scans, so a hub's rows can be split by the engine.
     """
-    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
-    seen = None
+    edges = cut(contracted(links).distinct(), "links")
     for _ in range(rounds):
-        mark = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v") % 1_000_003), F.lit(0))).first()
-        if mark == seen or not mark[0]:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("label")).unionByName(
-                edges.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct()
-            )
-        seen = mark
+        several = edges.groupBy("u").agg(F.count("*").alias("c")).where("c > 1")
+        if not edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").head(1) and not several.head(1):
+            roots = edges.select(F.col("v").alias("id")).distinct()
+            return edges.select(F.col("u").alias("id"), F.col("v").alias("label")).unionByName(roots.select("id", F.col("id").alias("label")))
         both = edges.select("u", "v").union(edges.select("v", "u"))
         low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
         # v > u of every node go to the smallest neighbour of u; then every node keeps its smallest
