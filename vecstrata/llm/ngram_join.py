@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 from .shared import Forest, components, cut, paired_blocks
 from .tokens import SPACED, U, mix, text_bytes, text_slices, words
 
-SHINGLE, PERCENT, ORDERS, BLOCK = 5, 80, 3, 1024
+SHINGLE, PERCENT, ORDERS, BLOCK = 5, 80, 3, 256
 BUCKET_BYTES, LEAST_BUCKETS = 3 << 20, 48
-PART_TOKENS = 4_000_000
+PART_TOKENS = 2_000_000
 BITS = 40
 
 
