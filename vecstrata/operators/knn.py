@@ -21,6 +21,12 @@ def ordered_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.add.accumulate((a - b) ** 2, axis=1)[:, -1])
 
 
+def matrix(column: pa.Array) -> np.ndarray:
+    """Lists of one width as rows of doubles, without Python objects in between."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.astype(np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
 def nearest_in_batch(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int, keep_self: bool):
     """Per query the k nearest rows of a batch: a matrix product picks a few more, exact distances order them."""
     rough = (x * x).sum(axis=1)[None, :] - 2.0 * (q @ x.T)
@@ -48,13 +54,13 @@ def exact(points: DataFrame, queries: DataFrame, k: int, vector: str = "embeddin
     """
     spark = points.sparkSession
     q = queries.select("qid", "embedding").where(is_finite(F.col("embedding")))
-    n = q.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
+    head = q.limit(QUERY_BLOCK + 1).collect()
+    blocks = 1 if len(head) <= QUERY_BLOCK else -(-q.count() // QUERY_BLOCK)
     p = points.select(F.col("vec_id").alias("nid"), F.col(vector).alias("pv")).where(is_finite(F.col(vector)))
     out = None
     for b in range(blocks):
-        part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
-        rows = part.collect()  # one bounded block
+        # one bounded block at a time
+        rows = head if blocks == 1 else q.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).collect()
         block = spark.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)))
 
         def run(batches, block=block):
@@ -62,7 +68,7 @@ def exact(points: DataFrame, queries: DataFrame, k: int, vector: str = "embeddin
             for batch in batches:
                 for lo in range(0, len(batch), 4096):
                     part = batch.slice(lo, 4096)
-                    x = np.array(part.column("pv").to_pylist(), np.float64)
+                    x = matrix(part.column("pv"))
                     for at in range(0, len(qids), 512):
                         made = nearest_in_batch(part.column("nid").to_numpy(), x, qids[at : at + 512], qv[at : at + 512], k, keep_self)
                         yield pa.RecordBatch.from_arrays([pa.array(c) for c in made], names=["qid", "nid", "dist"])
