@@ -29,12 +29,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .tokens import release
+
 #: Fixed pattern of the public byte-level pre-tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SPLIT_LOOKAHEAD = 3
 CHUNK = 1 << 18
 LONG_PIECE = 96
-CACHE_PIECES = 400_000
+CACHE_PIECES = 150_000
 _NONE = 1 << 30
 
 
@@ -330,6 +332,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                     ids.append(h.hexdigest())
                     back.append(g.hexdigest())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(run, DIGEST)
 

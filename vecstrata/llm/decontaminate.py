@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import ALNUM, U, Words, minimum_of, text_slices, words
+from .tokens import ALNUM, U, Words, minimum_of, release, text_slices, words
 
 WINDOW, GRAM = 13, 6
 BLOCK_BYTES = 8 << 20
@@ -139,6 +139,7 @@ def matches(docs: DataFrame, block: list[tuple[str, str]]) -> DataFrame:
                     [batch.column("doc_id").slice(lo, hi - lo).cast(pa.int64()), pa.array(np.diff(w.first), pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
                     names=["doc_id", "n_words", "spans", "items"],
                 )
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(run, FOUND)
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import Forest, components, cut, paired_blocks
-from .tokens import SPACED, U, mix, text_bytes, text_slices, words
+from .tokens import SPACED, U, mix, release, text_bytes, text_slices, words
 
 SHINGLE, PERCENT, ORDERS, BLOCK = 5, 80, 3, 256
 BUCKET_BYTES, LEAST_BUCKETS = 3 << 20, 48
@@ -108,8 +108,11 @@ def mapped(docs: DataFrame, k: int, buckets: int) -> DataFrame:
                 if n >= PART_TOKENS or docs_held >= 200_000:
                     yield part(number, held)
                     held, n, docs_held, number = [], 0, 0, number + 1
+                    release()
         if held:
             yield part(number, held)
+        held = []
+        release()
 
     return docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(run, MAPPED)
 

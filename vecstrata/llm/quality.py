@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tokens import text_slices
+from .tokens import release, text_slices
 
 WIDTH, FILTERS, HOP, LAGS = 4, 8, 64, 24
 SAMPLE, SAMPLE_BYTES = 3000, 20_000
@@ -221,6 +221,7 @@ def classify(docs: DataFrame, net: Network, to: str = "score") -> DataFrame:
             for lo, hi, data, offsets in text_slices(batch.column("text")):
                 part, made = batch.slice(lo, hi - lo), pa.array(n.scores(data, offsets))
                 yield pa.RecordBatch.from_arrays([made if c == to else part.column(c) for c in order], names=order)
+        release()
 
     return docs.drop(to).mapInArrow(run, schema)
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import SPACED, U, minimum_of, mix, text_bytes, text_slices, words
+from .tokens import SPACED, U, minimum_of, mix, release, text_bytes, text_slices, words
 
 WINDOW, SEED = 50, 16
 BUCKET_BYTES, LEAST_BUCKETS = 3 << 20, 48
@@ -123,8 +123,11 @@ def mapped(docs: DataFrame, k: int, seed: int, buckets: int) -> DataFrame:
                 if n >= PART_WINDOWS:
                     yield part(held)
                     held, n = [], 0
+                    release()
         if held:
             yield part(held)
+        held = []
+        release()
 
     return docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(run, MAPPED)
 

@@ -8,6 +8,7 @@ byte range, and the same over word hashes gives the hash of any word range.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -146,6 +147,14 @@ def minimum_of(values: np.ndarray, width: int) -> np.ndarray:
     return m
 
 
+def release() -> None:
+    """Give freed memory back: workers stay for the next tasks, and executors count what they hold."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def text_bytes(df, column: str = "text") -> int:
     """Bytes of the frame's source by the optimizer's statistics; counted where it has none."""
     from pyspark.sql import functions as F
