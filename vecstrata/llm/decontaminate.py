@@ -109,10 +109,12 @@ def hits(w: Words, f: Fingerprints) -> list[tuple[np.ndarray, np.ndarray, int]]:
 
 FOUND = "doc_id long, n_words long, spans array<int>, items array<string>"
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+RESULT_NAMES = [x.split()[0] for x in RESULT.split(", ")]
 
 
-def matches(docs: DataFrame, block: list[tuple[str, str]]) -> DataFrame:
-    """``doc_id, n_words, spans, items``: hit spans (start, end, start, end, ... in words) of each row."""
+def matches(docs: DataFrame, block: list[tuple[str, str]], final: bool = False) -> DataFrame:
+    """``doc_id, n_words, spans, items``: hit spans (start, end, start, end, ... in words) of each row;
+    with ``final`` the columns of ``RESULT`` in the same pass."""
     shared = docs.sparkSession.sparkContext.broadcast(fingerprints(block))
 
     def run(batches):
@@ -135,31 +137,40 @@ def matches(docs: DataFrame, block: list[tuple[str, str]]) -> DataFrame:
                         a, b = int(w.first[d]), int(w.first[d + 1])
                         own = np.concatenate([[False], covered[a + 1 : b + 1], [False]])
                         spans[d] = np.flatnonzero(own[1:] != own[:-1]).tolist()
+                ids, n = batch.column("doc_id").slice(lo, hi - lo).cast(pa.int64()), np.diff(w.first)
+                if final:
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), *digest(spans, [list(x) for x in items], n.tolist())], names=RESULT_NAMES)
+                    continue
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(lo, hi - lo).cast(pa.int64()), pa.array(np.diff(w.first), pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
+                    [ids, pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
                     names=["doc_id", "n_words", "spans", "items"],
                 )
         release()
 
-    return docs.select("doc_id", "text").mapInArrow(run, FOUND)
+    return docs.select("doc_id", "text").mapInArrow(run, RESULT if final else FOUND)
+
+
+def digest(spans: list[list[int]], items: list[list[str]], n_words: list[int]) -> list[pa.Array]:
+    """Count hit words once, name the items: the last four columns of ``RESULT``."""
+    rows = []
+    for own, named, n in zip(spans, items, n_words, strict=True):
+        hit, upto = 0, 0
+        for a, b in sorted(zip(own[::2], own[1::2], strict=True)):
+            hit += max(0, b - max(a, upto))
+            upto = max(upto, b)
+        names = sorted(set(named))
+        rows.append((hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), hit > 0 and 20 * hit >= n))
+    cols = list(zip(*rows, strict=True)) or [[]] * 4
+    return [pa.array(list(c), k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.bool_()), strict=True)]
 
 
 def summed(found: DataFrame) -> DataFrame:
-    """Row-local: count hit words once, name the items."""
+    """Row-local: from united spans to ``RESULT``."""
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for spans, items, n in zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(), batch.column("n_words").to_pylist(), strict=True):
-                hit, upto = 0, 0
-                for a, b in sorted(zip(spans[::2], spans[1::2], strict=True)):
-                    hit += max(0, b - max(a, upto))
-                    upto = max(upto, b)
-                names = sorted(set(items))
-                rows.append((hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), hit > 0 and 20 * hit >= n))
-            cols = list(zip(*rows, strict=True)) or [[]] * 4
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), *[pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)]], names=[x.split()[0] for x in RESULT.split(", ")])
+            made = digest(*(batch.column(c).to_pylist() for c in ("spans", "items", "n_words")))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), *made], names=RESULT_NAMES)
 
     return found.mapInArrow(run, RESULT)
 
@@ -172,10 +183,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
     parts = []
     for b in range(blocks):
         rows = (items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)).collect()
-        parts.append(matches(docs, [(r[0], r[1]) for r in rows]))
+        parts.append(matches(docs, [(r[0], r[1]) for r in rows], blocks == 1))
     found = parts[0]
-    if blocks > 1:
-        for p in parts[1:]:
-            found = found.unionByName(p)
-        found = found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+    if blocks == 1:
+        return found
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    found = found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
     return summed(found)
