@@ -29,7 +29,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .tokens import release
+from .tokens import release, small_batches
 
 #: Fixed pattern of the public byte-level pre-tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -308,6 +308,7 @@ DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """Per document: tokens, a digest of the ids and one of the text decoded from them again."""
+    small_batches(docs.sparkSession)
     source = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
 
     def run(batches):

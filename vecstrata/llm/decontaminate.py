@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import ALNUM, U, Words, minimum_of, release, text_slices, words
+from .tokens import ALNUM, U, Words, minimum_of, release, small_batches, text_slices, words
 
 WINDOW, GRAM = 13, 6
 BLOCK_BYTES = 8 << 20
@@ -177,6 +177,7 @@ def summed(found: DataFrame) -> DataFrame:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row for each document; see ``RESULT``."""
+    small_batches(docs.sparkSession)
     items = benchmark.select("item_id", "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))

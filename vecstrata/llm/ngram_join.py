@@ -31,11 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import Forest, components, cut, paired_blocks
-from .tokens import SPACED, U, mix, release, text_bytes, text_slices, words
+from .tokens import SPACED, U, mix, release, small_batches, text_bytes, text_slices, words
 
 SHINGLE, PERCENT, ORDERS, BLOCK = 5, 80, 3, 256
 BUCKET_BYTES, LEAST_BUCKETS = 3 << 20, 48
-PART_TOKENS = 2_000_000
+PART_TOKENS = 1_000_000
 BITS = 40
 
 
@@ -264,6 +264,7 @@ def verified(pairs: DataFrame, percent: int) -> DataFrame:
 
 def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, orders: int = ORDERS) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row with a doc_id."""
+    small_batches(docs.sparkSession)
     buckets = int(max(LEAST_BUCKETS, text_bytes(docs) // BUCKET_BYTES))
     both = cut(classes(answered(mapped(docs, k, buckets), buckets), percent, orders), "classes")
     rows = both.where("doc_id is not null").select("doc_id", "n", F.when(F.col("n") > 0, F.col("sig")).alias("sig"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tokens import release, text_slices
+from .tokens import release, small_batches, text_slices
 
 WIDTH, FILTERS, HOP, LAGS = 4, 8, 64, 24
 SAMPLE, SAMPLE_BYTES = 3000, 20_000
@@ -211,6 +211,7 @@ def train(docs: DataFrame, labels: DataFrame, where) -> Network:
 
 def classify(docs: DataFrame, net: Network, to: str = "score") -> DataFrame:
     """Add the score to every row; other columns pass."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
     schema = T.StructType([f for f in docs.schema if f.name != to] + [T.StructField(to, T.DoubleType())])
     order = [f.name for f in schema]

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import SPACED, U, minimum_of, mix, release, text_bytes, text_slices, words
+from .tokens import SPACED, U, minimum_of, mix, release, small_batches, text_bytes, text_slices, words
 
 WINDOW, SEED = 50, 16
 BUCKET_BYTES, LEAST_BUCKETS = 3 << 20, 48
@@ -142,6 +142,7 @@ def _split(keys: np.ndarray, rows: np.ndarray) -> tuple[list[int], list[np.ndarr
 
 def repeated_spans(docs: DataFrame, k: int = WINDOW, seed: int = SEED) -> DataFrame:
     """``doc_id, start, end``: word spans whose every k-word window starts in a smaller document."""
+    small_batches(docs.sparkSession)
     buckets = max(LEAST_BUCKETS, text_bytes(docs) // BUCKET_BYTES)
 
     def bucket(table: pa.Table) -> pa.Table:
@@ -163,6 +164,7 @@ def repeated_spans(docs: DataFrame, k: int = WINDOW, seed: int = SEED) -> DataFr
 
 def remove(docs: DataFrame, spans: DataFrame, emit: str = "digest") -> DataFrame:
     """Take the spans' words out.  ``emit`` is ``digest`` or ``text`` (kept words joined by one space)."""
+    small_batches(docs.sparkSession)
     listed = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
     both = docs.select("doc_id", "text").join(listed, "doc_id", "left")
     last = "kept_sha256" if emit == "digest" else "kept"

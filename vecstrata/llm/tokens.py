@@ -147,6 +147,13 @@ def minimum_of(values: np.ndarray, width: int) -> np.ndarray:
     return m
 
 
+def small_batches(spark, rows: int = 1000) -> None:
+    """Send at most ``rows`` texts at once to Python: long texts make the default batch a large buffer on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def release() -> None:
     """Give freed memory back: workers stay for the next tasks, and executors count what they hold."""
     pa.default_memory_pool().release_unused()
