@@ -83,6 +83,19 @@ def test_burst_expert_matches_urn():
     assert got == pytest.approx(want, abs=1e-9)
 
 
+def test_long_unknown_words_pay_for_every_byte(spark):
+    """Junk without spaces: the cost grows with the length, beyond what half precision or a double's exponent holds."""
+    rng = np.random.default_rng(4)
+    junk = {n: "".join(map(chr, rng.integers(0x4E00, 0x9FA5, n).tolist())) for n in (200, 2000, 8000)}
+    docs = [(i, f"some plain words of text number {i}", False) for i in range(20)] + [(n, t, True) for n, t in junk.items()] + [(1, f"{junk[2000]} {junk[2000]}", True)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, held boolean")
+    got = {r["doc_id"]: r["score"] for r in language_model.score(df, F.col("held")).where("held_out").collect()}
+    bits = {n: -s / math.log10(2) for n, s in got.items()}
+    assert all(bits[n] > 3 * 3 * n and math.isfinite(bits[n]) for n in junk)
+    assert bits[8000] > 3.5 * bits[2000] > 12 * bits[200]
+    assert bits[2000] < bits[1] < 1.1 * bits[2000]  # a burst expert knows the word again
+
+
 # 3. sharding
 
 
