@@ -242,3 +242,23 @@ def test_diverse_selection_by_brute_force():
         assert build.diverse(d, x, 5, refill=False).tolist() == kept
         full = build.diverse(d, x, 5)
         assert len(full) == 5 and set(kept) <= set(full.tolist())
+
+
+def test_ties_at_the_cut_go_by_id():
+    """Far more equal rows than k: the smallest ids win, as in the SQL."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1500, 8))
+    ids = rng.permutation(1500)
+    same = rng.choice(1500, 500, replace=False)
+    x[same] = x[same[0]]
+    q = x[same[0]][None, :] + 0.01
+    want = sorted(ids[same].tolist())[:10]
+    _, got, _ = knn.nearest_in_batch(ids, x, np.array([-1]), q, 10, True)
+    assert got.tolist() == want
+    own = np.array([want[0]])
+    _, got, _ = knn.nearest_in_batch(ids, x, own, q, 10, False)
+    assert got.tolist() == sorted(ids[same].tolist())[1:11]
+    x[-1] = q[0]
+    before = [i for i in same.tolist() if i < 1499]
+    (_, near, _), = build.nearest_before(x, ids, 1499, 10)
+    assert ids[near].tolist() == sorted(ids[before].tolist())[:10]

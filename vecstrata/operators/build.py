@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import IndexParams
-from .knn import ordered_distance
+from .knn import ordered_distance, rounding
 from .points import check_vectors, make_points
 
 CANDIDATES = "shard int, layer int, node long, nid long, dist double, rank int, kept boolean"
@@ -43,12 +43,14 @@ def shard_of(vec_id: Column, shards: int) -> Column:
     return F.pmod(F.xxhash64(vec_id), F.lit(shards)).cast("int")
 
 
-def nearest_before(vectors: np.ndarray, ids: np.ndarray, own: int, ef: int, spare: int = 16, block: int = 1024):
+def nearest_before(vectors: np.ndarray, ids: np.ndarray, own: int, ef: int, block: int = 1024):
     """For rows ``own..`` the ``ef`` nearest rows of smaller position, by (distance, id).
 
-    A blocked matrix product picks a few more than needed; exact distances settle the order.
+    A blocked matrix product picks all that rounding does not tell from the ``ef``-th or nearer; exact
+    distances settle the order.
     """
     sq = np.einsum("ij,ij->i", vectors, vectors)
+    margin = rounding(sq, sq.max(initial=0.0), vectors.shape[1])
     for lo in range(own, len(vectors), block):
         hi = min(lo + block, len(vectors))
         d = sq[None, :hi] - 2.0 * (vectors[lo:hi] @ vectors[:hi].T)
@@ -56,7 +58,7 @@ def nearest_before(vectors: np.ndarray, ids: np.ndarray, own: int, ef: int, spar
             if not i:
                 continue
             row = d[i - lo, :i]
-            take = np.argpartition(row, ef + spare)[: ef + spare] if i > ef + spare else np.arange(i)
+            take = np.flatnonzero(row <= np.partition(row, ef - 1)[ef - 1] + margin[i]) if i > ef else np.arange(i)
             dist = ordered_distance(np.broadcast_to(vectors[i], (len(take), vectors.shape[1])), vectors[take])
             best = np.lexsort((ids[take], dist))[:ef]
             yield i, take[best], dist[best]

@@ -11,7 +11,8 @@ from ..functions import is_finite, l2
 
 #: Most queries sent to the tasks at once; larger sets are answered block by block.
 QUERY_BLOCK = 20_000
-SPARE = 16
+#: Pairs whose exact distances are taken at once.
+PAIRS = 50_000
 
 
 def ordered_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -21,6 +22,11 @@ def ordered_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.add.accumulate((a - b) ** 2, axis=1)[:, -1])
 
 
+def rounding(norm: np.ndarray | float, other: float, width: int) -> np.ndarray | float:
+    """By how much two rough distances (squares, less a constant) can be apart when the exact ones tie."""
+    return 8 * (width + 8) * np.finfo(np.float64).eps * (np.sqrt(norm) + np.sqrt(other)) ** 2
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     """Lists of one width as rows of doubles, without Python objects in between."""
     flat = column.flatten().to_numpy(zero_copy_only=False)
@@ -28,16 +34,19 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 def nearest_in_batch(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int, keep_self: bool):
-    """Per query the k nearest rows of a batch: a matrix product picks a few more, exact distances order them."""
-    rough = (x * x).sum(axis=1)[None, :] - 2.0 * (q @ x.T)
-    take = min(len(ids), k + SPARE + (not keep_self))
-    near = np.argpartition(rough, take - 1, axis=1)[:, :take] if take < len(ids) else np.broadcast_to(np.arange(len(ids)), (len(q), len(ids)))
-    row = np.repeat(np.arange(len(q)), take)
-    at = near.ravel()
-    dist = ordered_distance(q[row], x[at])
+    """Per query the k nearest rows of a batch: a matrix product picks all rows that rounding does not
+    tell from the k-th or nearer, exact distances and ids order them."""
+    sq = (x * x).sum(axis=1)
+    rough = sq[None, :] - 2.0 * (q @ x.T)
     if not keep_self:
-        ok = qids[row] != ids[at]
-        row, at, dist = row[ok], at[ok], dist[ok]
+        rough[qids[:, None] == ids[None, :]] = np.inf
+    if k < len(ids):
+        last = np.partition(rough, k - 1, axis=1)[:, k - 1] + rounding((q * q).sum(axis=1), sq.max(), x.shape[1])
+        row, at = np.nonzero((rough <= last[:, None]) & (rough < np.inf))
+    else:
+        row, at = np.nonzero(rough < np.inf)
+    steps = [slice(lo, lo + PAIRS) for lo in range(0, len(row), PAIRS)]
+    dist = np.concatenate([np.zeros(0), *[ordered_distance(q[row[s]], x[at[s]]) for s in steps]])
     order = np.lexsort((ids[at], dist, row))
     row, at, dist = row[order], at[order], dist[order]
     first = np.searchsorted(row, np.arange(len(q)))
