@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import dequantize, dim, hashed_unit, is_finite, l2, quantize, random_vector
 from ..operators import build, evaluate, graph, knn, points, search
 from ..params import IndexParams
+from ..session import shared_folder
 from ..sources import store, text, truth
 
 PARAMS = IndexParams(m=12)
@@ -46,11 +47,8 @@ def index(spark: SparkSession, sf: str) -> build.Index:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A folder for a round trip: under the cluster's shared folder, or a temporary one where none is set."""
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    return f"{root}/vecstrata-{uuid.uuid4().hex}"
+    """A folder for a round trip, under the cluster's shared folder."""
+    return f"{shared_folder(spark)}/vecstrata-{uuid.uuid4().hex}"
 
 
 # SQL pieces -----------------------------------------------------------------
