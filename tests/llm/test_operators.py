@@ -1,4 +1,5 @@
 import math
+import random
 import zlib
 
 import brute
@@ -184,7 +185,7 @@ def test_decontamination(odd_docs, odd_rows, no_docs, spark, real, sf):
     bench = spark.createDataFrame(items, "item_id string, text string")
     want = sorted(brute.decontaminated(odd_rows, items))
     assert rows(decontaminate.contamination(odd_docs, bench)) == want
-    assert set(rows(decontaminate.contamination(odd_docs, bench, block_bytes=40))) == set(want)
+    assert rows(decontaminate.contamination(odd_docs, bench, flag_bits=3)) == want  # all flags are set: every window is likely
     assert rows(decontaminate.contamination(no_docs, bench)) == []
     assert {r[2] for r in rows(decontaminate.contamination(odd_docs, bench.limit(0)))} == {0}
     table = spark.read.parquet(f"{sf}/benchmark.parquet")
@@ -192,6 +193,31 @@ def test_decontamination(odd_docs, odd_rows, no_docs, spark, real, sf):
     assert rows(decontaminate.contamination(spark.read.parquet(f"{sf}/documents.parquet"), table)) == sorted(want)
 
 
+def test_decontamination_row_by_row(spark):
+    """Repeated rows, NULL ids, one id on several texts and items that share passages: one right row for each row."""
+    rnd = random.Random(1)
+    for size in (3, 30):
+        v = [f"w{i}" for i in range(size)]
+        text = lambda sizes, v=v: " ".join(rnd.choice(v) for _ in range(rnd.choice(sizes)))
+        docs = [(rnd.choice([None, 1, 2, 3]), text([0, 1, 5, 40, 200])) for _ in range(30)] + [(7, None), (7, ""), (8, "a b"), (8, "a b")]
+        items = [(f"i{i % 9}", text([0, 1, 2, 12, 13, 14, 30])) for i in range(12)] + [("x", docs[5][1]), ("y", None)]
+        bench = spark.createDataFrame(items, "item_id string, text string")
+        df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+        for bits in (22, 3):
+            assert sorted(map(tuple, decontaminate.contamination(df, bench, bits).collect()), key=str) == sorted(brute.decontaminated(docs, items), key=str)
+
+
+def test_clean_drops_what_holds_a_window(spark):
+    """A window of 13 words inside 5,000 is removed, 12 words of it are not; other columns pass."""
+    item = [f"item{i}" for i in range(20)]
+    filler = [f"word{i}" for i in range(5000)]
+    texts = [filler + item[:13], filler[:900] + item[4:17] + filler[900:], filler + item[:12], filler]
+    df = spark.createDataFrame([(None if i == 1 else i, " ".join(t), i) for i, t in enumerate(texts)], "doc_id long, text string, `a.b` int")
+    bench = spark.createDataFrame([("i", " ".join(item))], "item_id string, text string")
+    assert sorted(r["a.b"] for r in decontaminate.clean(df, bench).collect()) == [2, 3]
+    assert decontaminate.clean(df, bench.limit(0)).count() == 4
+
+
 PASSAGE_ITEM = " ".join(f"shared{i}" for i in range(5, 30))
 
 

@@ -2,25 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_own: list[str] = []
+
+def quoted(df: DataFrame) -> list[Column]:
+    """The columns of a frame, whatever characters their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where none is set."""
-    if root := spark.conf.get("spark.checkpoint.dir", None):
-        return root
-    if not _own:
-        _own.append("file://" + tempfile.mkdtemp(prefix="vecstrata"))
-    return _own[0]
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of the frame has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
