@@ -287,6 +287,34 @@ def test_quality(spark, odd_docs, no_docs):
     assert {r[2] for r in rows(quality.documents_query(odd_docs, labels.limit(0)))} == {0.5}
 
 
+def naive_score(net, text):
+    """The network on one text, byte by byte."""
+    raw = text.encode()
+    groups = [raw[i : i + 4] for i in range(len(raw) - 3)]
+    tokens = [int(quality.CLASS_OF[b]) + (quality.CLASSES if i < len(groups) and groups[i] in groups[max(0, i - quality.LAGS) : i] else 0) for i, b in enumerate(raw)]
+    response = np.zeros((len(raw), quality.FILTERS))
+    for i in range(len(raw) - quality.WIDTH + 1):
+        response[i] = np.maximum(0, net.bias + sum(net.taps[j, tokens[i + j]] for j in range(quality.WIDTH)))
+    chunks = [response[i : i + 2 * quality.HOP].mean(axis=0) for i in range(0, len(raw), quality.HOP)]
+    top = np.max(chunks, axis=0) if chunks else np.zeros(quality.FILTERS)
+    return 1 / (1 + math.exp(-np.clip(top @ net.weights.astype(float) * 10 + net.offset, -30, 30)))
+
+
+def test_quality_is_a_convolution_of_each_text_alone(real):
+    """Brute force, alone, in any slice and beside any neighbour."""
+    net = quality.Network.fresh()
+    texts = ["", "a", "abc", "abcd", "aaaa aaaa", "abcabcabcabc", "é漢字" * 30, *[t[:900] for t in list(real.values())[:30]], "abcabcabc", "cabcab"]
+    want = [naive_score(net, t) for t in texts]
+
+    def scores(part):
+        raw = [t.encode() for t in part]
+        return net.scores(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)).tolist()
+
+    assert scores(texts) == pytest.approx(want, abs=1e-5)
+    assert [scores([t])[0] for t in texts] == pytest.approx(scores(texts), abs=1e-6)
+    assert scores(texts[::-1])[::-1] == pytest.approx(scores(texts), abs=1e-6)
+
+
 # 9. secrets
 
 

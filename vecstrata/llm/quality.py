@@ -1,7 +1,7 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
-Each byte enters as one of ``CLASSES`` classes and a flag that its four-byte group occurred in the
-last ``LAGS`` bytes.  ``FILTERS`` learned filters span ``WIDTH`` bytes; their rectified responses
+Each byte enters as one of ``CLASSES`` classes and a flag that its four-byte group began also at one
+of the last ``LAGS`` bytes of its document.  ``FILTERS`` learned filters span ``WIDTH`` bytes; their rectified responses
 are averaged over chunks of ``2 * HOP`` bytes that overlap by half and cover the whole text, each
 filter's largest chunk is kept, and one logistic unit turns these maxima into a probability.
 
@@ -9,8 +9,10 @@ The network is fitted on the driver on a bounded sample: at most ``SAMPLE`` labe
 of at most ``SAMPLE_BYTES`` each, the first by a hash of their id.  Scoring is a projection of whole
 texts, without a shuffle; a slice of text bounds the memory of a task.
 
-Only the text is scored.  NULL and empty texts have zero responses and get the score of the unit's
-bias.  Without any labelled row the score is 0.5.
+Only the text is scored, and each text alone: its score is the same whatever stands beside it.  NULL
+and empty texts have zero responses and get the score of the unit's bias; a very long text is one slice
+and is scored whole.  Repeated rows get equal scores each.  Without any labelled row the score is 0.5.
+An empty table gives no rows.  Other columns pass, but one of the name of the score is replaced.
 """
 
 from __future__ import annotations
@@ -55,16 +57,35 @@ CLASS_OF, CLASSES = byte_classes()
 TOKENS = 2 * CLASSES
 
 
-def byte_tokens(data: np.ndarray) -> np.ndarray:
-    """Class and repeat flag of each byte, as one number."""
+#: Four bytes that no UTF-8 text holds.
+NOTHING = np.uint32(0xFFFFFFFF)
+
+
+def byte_tokens(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Class and repeat flag of each byte, as one number.
+
+    A flag looks at the bytes of its own document only: documents are laid out with ``LAGS`` empty
+    groups between them, and the last three bytes of each have no group.
+    """
     out = CLASS_OF[data]
-    n = len(data) - 3
-    if n > 1:
-        group = data[:n].astype(np.uint32) | data[1 : n + 1].astype(np.uint32) << 8 | data[2 : n + 2].astype(np.uint32) << 16 | data[3 : n + 3].astype(np.uint32) << 24
-        again = np.zeros(n, bool)
-        for lag in range(1, min(LAGS, n - 1) + 1):
-            again[lag:] |= group[lag:] == group[:-lag]
-        out[:n] += CLASSES * again
+    n = len(data)
+    if n < 4:
+        return out
+    group = np.full(n, NOTHING, np.uint32)
+    group[: n - 3] = data[: n - 3].astype(np.uint32) | data[1 : n - 2].astype(np.uint32) << 8 | data[2 : n - 1].astype(np.uint32) << 16 | data[3:].astype(np.uint32) << 24
+    size = np.diff(offsets)
+    ends = offsets[1:][size > 0]
+    group[np.maximum(0, ends[:, None] - np.arange(1, 4))] = NOTHING  # a shorter document's neighbour loses its end too, which has none
+    full = np.flatnonzero(size)
+    room = size[full] + LAGS
+    start = np.cumsum(room) - room
+    at = np.arange(n) + np.repeat(start - offsets[full], size[full])
+    wide = np.full(int(room.sum()), NOTHING, np.uint32)
+    wide[at] = group
+    again = np.zeros(len(wide), bool)
+    for lag in range(1, min(LAGS, len(wide) - 1) + 1):
+        again[lag:] |= wide[lag:] == wide[:-lag]
+    out += CLASSES * (again[at] & (group != NOTHING))
     return out
 
 
@@ -94,7 +115,7 @@ class Layout:
         chunk_size = ends - starts
         chunk_size[:-1] += np.where(follows[:-1], ends[1:] - starts[1:], 0)
         tail = np.unique(np.concatenate([np.maximum(offsets[full], offsets[full + 1] - 1 - i) for i in range(WIDTH - 1)])) if len(full) else np.zeros(0, np.int64)
-        return cls(byte_tokens(data), starts, chunk_size, follows, first[:-1], full, tail)
+        return cls(byte_tokens(data, offsets), starts, chunk_size, follows, first[:-1], full, tail)
 
 
 class Network:
