@@ -92,3 +92,35 @@ def base_spans(text):
     out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if m.end() - m.start() >= 18]
     out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if m.end() - m.start() >= 16]
     return ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(out))
+
+
+def natural_tail(z):
+    return 0.5 * math.erfc(z / math.sqrt(2))
+
+
+def token_p(s):
+    """Largest of the battery's three p-values for one token."""
+    n, classes = len(s), ["l" if c.islower() else "u" if c.isupper() else "d" if c.isdigit() else "o" for c in s]
+    if not re.search("[a-z0-9][+/_=-]*[A-Z]|[A-Za-z][+/_=-]*[0-9]|[0-9][+/_=-]*[a-z]", s):
+        return 1.0
+    k = 16 if re.fullmatch("[0-9a-f]+|[0-9A-F]+", s) else 32 if re.fullmatch("[A-Z2-7]+=*", s) else 36 if re.fullmatch("[a-z0-9]+|[A-Z0-9]+", s) else 64
+    far = n * (k * (0.1 if k == 16 else 0.066) - 1)
+    chi = natural_tail((k - 1 + far - (sum(c * c for c in Counter(s).values()) * k / n - n)) / math.sqrt(2 * (k - 1 + 2 * far)))
+    rate, f = (0.25 if k == 64 else 0.1), max(1e-9, min(1 - 1e-9, sum(a != b for a, b in zip(classes, classes[1:])) / (n - 1)))
+    runs = 1.0 if f <= rate else math.exp(-(n - 1) * (f * math.log(f / rate) + (1 - f) * math.log((1 - f) / (1 - rate))))
+    dev = [ord(c) - sum(map(ord, s)) / n for c in s]
+    r = min(0.999, abs(sum(a * b for a, b in zip(dev, dev[1:])) / max(1e-9, sum(d * d for d in dev))))
+    return max(chi, runs, natural_tail((math.atanh(0.8) - math.atanh(r)) * math.sqrt(n - 3)))
+
+
+def all_spans(text):
+    """Base spans and random ones."""
+    t, base = text or "", [x.split(":") for x in base_spans(text).split(",") if x]
+    hidden = list(t.replace("\x01", "\x02"))
+    for _, a, b in base:
+        hidden[int(a) : int(b)] = "\x01" * (int(b) - int(a))
+    tokens = [m for m in re.finditer("[A-Za-z0-9+/_=\x01-]+", "".join(hidden)) if m.end() - m.start() >= 12 and "\x01" not in m[0]]
+    tested = sorted((token_p(m[0]), m.start(), m.end()) for m in tokens)
+    passing = [p for i, (p, _, _) in enumerate(tested, 1) if p <= 0.01 * i / len(tested)]
+    spans = [(int(a), ("assign", "access", "hex").index(k), int(b)) for k, a, b in base] + [(a, 3, b) for p, a, b in tested if passing and p <= max(passing)]
+    return ",".join(f"{('assign', 'access', 'hex', 'random')[k]}:{a}:{b}" for a, k, b in sorted(spans))

@@ -1,21 +1,30 @@
 """Secret scans with a battery of randomness tests, DataFrame operations only.
 
-Three fixed patterns give base spans (kinds assign, access, hex).  Beyond them every long run of
-token characters is a candidate (kind random).  Its encoding is inferred from the characters it
-uses: hex, base32, base36 or base64.  A candidate is a secret when
-
-* chi-squared uniformity over the alphabet, the runs test and lag-1 serial correlation do not
-  reject randomness (three two-sided tests, Bonferroni, level ``REJECT``), and
-* natural text is refused: the number of switches between character classes, against at most
-  ``SWITCH`` for each neighbour pair in natural tokens, has a Chernoff bound that falls with the
-  length; Benjamini-Hochberg at ``FDR`` holds over the candidates of the document.
-
-Positions count code points, the end is exclusive.  NULL and empty texts have no spans.  All steps
-are projections of one row: no shuffle, and a very long text is scanned whole.
+Three fixed patterns give base spans (kinds assign, access, hex).  Beyond them every token of ``LEAST``
+or more token characters that no base span touches is a candidate (kind random).  Its encoding is
+inferred from the characters it uses: hex, base32, base36 or base64.  The battery asks how surely a
+candidate is random, against the hypothesis that it departs from randomness as natural tokens do:
+
+* chi-squared uniformity over the alphabet: natural characters repeat, so the statistic is noncentral
+  with ``n * (K * REPEATS - 1)``; the lower tail is taken by the normal law of the same mean and
+  variance, which is too large as the true law leans to the right;
+* runs: natural tokens change character class (small, capital, digit, mark) at ``SWITCH`` of their
+  neighbour pairs at most; the chance of as many runs is bounded by Chernoff;
+* serial correlation: of at least ``CORRELATION`` at lag 1 either way, by Fisher's transformation.
+
+All three have to reject, so a candidate's p-value is the largest one, whatever the dependence between
+the tests.  Each falls with the length of the candidate: a short token has to look the more random.
+Benjamini-Hochberg at ``FDR`` over all candidates of the document decides.
+
+Positions count code points, the end is exclusive.  NULL and empty texts have no spans, repeated rows
+get equal spans, an empty table gives no rows.  All steps are projections of one row: no shuffle, and a
+very long text is scanned whole, with work that grows as the power 1.5 of its matches at most.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,28 +34,72 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{16,}"
 ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
-LIKELY = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
-REJECT, SWITCH, FDR = 0.001, 0.1, 0.01
+LEAST = 12
+#: Stands for characters of base spans when candidates are looked for; longer tokens that hold it touch one.
+MASK, OTHER = "\x01", "\x02"
+CANDIDATE = r"(?<![A-Za-z0-9+/_=\x01-])[A-Za-z0-9+/_=\x01-]{12,}"
+#: Needed for two changes of class, without which no candidate passes the runs test.
+CHANGES = r"[a-z0-9][+/_=-]*[A-Z]|[A-Za-z][+/_=-]*[0-9]|[0-9][+/_=-]*[a-z]"
+LIKELY = rf"(?=[A-Za-z0-9+/_=-]{{12}})[A-Za-z0-9+/_=-]*?(?:{CHANGES})"
+#: Chance that two characters of a natural token are equal, by alphabet; changes of class for each pair of
+#: neighbours in one case and in mixed case; lag-1 correlation of what is not random.
+REPEATS, HEX_REPEATS = 0.066, 0.1
+SWITCH, MIXED_SWITCH, CORRELATION = 0.1, 0.25, 0.8
+FDR = 0.01
 KINDS = ("assign", "access", "hex", "random")
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
-def located(text: Column, pattern: str, kind: int, keep=None, group: int | None = None) -> Column:
-    """Spans of the leftmost non-overlapping matches: the pieces between matches give the offsets."""
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def blocks_of(items: Column) -> Column:
+    """An array cut in blocks of about the square root of its size."""
+
+    def dealt(x: Column) -> Column:
+        n = F.greatest(F.lit(1), F.size(x))
+        return let(F.ceil(F.sqrt(n)).cast("int"), lambda m: F.transform(F.sequence(F.lit(0), F.floor((n - 1) / m).cast("int")), lambda b: F.slice(x, b * m + 1, m)))
+
+    return let(items, dealt)
+
+
+def before_each(items: Column, zero: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """For each block of ``items`` what the fold was before it: one integer for each block."""
+    start = F.struct(zero.alias("at"), F.array().cast("array<int>").alias("out"))
+    step = lambda s, block: F.struct(F.aggregate(block, s["at"], add).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+    return F.aggregate(items, start, step, lambda s: s["out"])
+
+
+def pieces(text: Column, pattern: str, group: int | None = None) -> Column:
+    """``gap, found, inner`` of the leftmost non-overlapping matches, and the rest of the text as a last gap."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
     inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    steps = F.arrays_zip(F.transform(between, lambda x: F.length(x)).alias("gap"), F.transform(found, lambda x: F.length(x)).alias("size"), inner.alias("inner"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int,inner:string>>").alias("out"))
+    return F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("found"), inner.alias("inner"))
+
+
+def located(cut: Column, kind: int) -> Column:
+    """``start, kind, end, inner`` of the matches of ``pieces``, by sums of lengths in two levels."""
+    # lengths of strings are taken once
+    sized = F.transform(cut, lambda p: F.struct(F.length(p["gap"]).alias("gap"), F.coalesce(F.length(p["found"]), F.lit(0)).alias("size"), p["inner"].alias("inner")))
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,inner:string>>")
 
-    def step(s, m):
-        start = s["at"] + m["gap"]
-        one = F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + m["size"]).alias("end"), m["inner"].alias("inner"))
-        return F.struct((start + m["size"]).alias("at"), F.concat(s["out"], F.array(one)).alias("out"))
+    def walk(block: Column, head: Column) -> Column:
+        def step(s, p):
+            at = s["at"] + p["gap"]
+            one = F.struct(at.alias("start"), F.lit(kind).alias("kind"), (at + p["size"]).alias("end"), p["inner"].alias("inner"))
+            return F.struct((at + p["size"]).alias("at"), F.concat(s["out"], F.array(one)).alias("out"))
 
-    spans = F.aggregate(steps, zero, step, lambda s: s["out"])
-    return F.filter(spans, keep) if keep else spans
+        return F.aggregate(block, F.struct(head.alias("at"), none.alias("out")), step, lambda s: s["out"])
+
+    blocks = lambda b: F.flatten(F.zip_with(b, before_each(b, F.lit(0), lambda s, p: s + p["gap"] + p["size"]), walk))
+    return F.filter(let(blocks_of(sized), blocks), lambda s: s["inner"].isNotNull())
+
+
+def masked(cut: Column, keep: Callable[[Column], Column]) -> Column:
+    """The text of ``pieces`` with the matches that ``keep`` admits covered by masks of equal length."""
+    return F.array_join(F.transform(cut, lambda p: F.concat(p["gap"], F.when(p["found"].isNull(), "").when(keep(p), F.repeat(F.lit(MASK), F.length(p["found"]))).otherwise(p["found"]))), "")
 
 
 def plain(spans: Column) -> Column:
@@ -57,88 +110,137 @@ def when_found(text: Column, pattern: str, spans: Column, kind: str = SPAN) -> C
     return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(kind))
 
 
+#: Pattern, what is asked first, group that ``keep`` looks at, and what is kept, of each base kind.
+BASE = [
+    (ASSIGN, ASSIGN, 2, lambda inner: F.length(inner) >= ASSIGN_LEAST),
+    (ACCESS, r"AKIA[A-Z0-9]{14}", None, lambda inner: F.length(inner) >= ACCESS_LEAST),
+    (HEX, HEX, None, lambda inner: F.lit(True)),
+]
+
+
 def base_spans(text: Column) -> Column:
-    assign = located(text, ASSIGN, 0, lambda s: F.length(s["inner"]) >= ASSIGN_LEAST, 2)
-    access = located(text, ACCESS, 1, lambda s: s["end"] - s["start"] >= ACCESS_LEAST)
-    return F.concat(
-        when_found(text, ASSIGN, plain(assign)), when_found(text, r"AKIA[A-Z0-9]{14}", plain(access)), when_found(text, HEX, plain(located(text, HEX, 2)))
-    )
+    def of(kind: int, pattern: str, first: str, group: int | None, keep) -> Column:
+        spans = let(pieces(text, pattern, group), lambda cut: plain(F.filter(located(cut, kind), lambda s: keep(s["inner"]))))
+        return when_found(text, first, spans)
+
+    return F.array_sort(F.concat(*[of(kind, *x) for kind, x in enumerate(BASE)]))
+
+
+def without_base(text: Column) -> Column:
+    """The text with all characters of base spans masked."""
+
+    def of(out: Column, pattern: str, first: str, group: int | None, keep) -> Column:
+        covered = lambda t: let(pieces(t, pattern, group), lambda cut: masked(cut, lambda p: keep(p["inner"])))
+        return let(out, lambda t: F.when(t.rlike(first), covered(t)).otherwise(t))
+
+    out = F.translate(text, MASK, OTHER)
+    for x in BASE:
+        out = of(out, *x)
+    return out
 
 
 def upper_tail(z: Column) -> Column:
-    """P(N > z), by the logistic approximation (absolute error under 0.01, tails on the safe side)."""
-    return 1.0 / (1.0 + F.exp(1.5976 * z + 0.07056 * z * z * z))
-
-
-def two_sided(z: Column) -> Column:
-    return 2.0 * upper_tail(F.abs(z))
-
-
-def randomness(s: Column) -> Column:
-    """Bonferroni-combined p-value of the battery for one token: small means not random."""
-    codes = F.transform(F.split(s, ""), lambda c: F.ascii(c))
-    n = F.length(s).cast("double")
-    alphabet = F.when(s.rlike("^([0-9a-f]+|[0-9A-F]+)$"), 16).when(s.rlike("^[A-Z2-7]+=*$"), 32).when(s.rlike("^([a-z0-9]+|[A-Z0-9]+)$"), 36).otherwise(64).cast("double")
-    counts = F.transform(F.array_distinct(codes), lambda c: F.size(F.filter(codes, lambda x: x == c)).cast("double"))
-    chi = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * c) * alphabet / n - n
-    df = alphabet - 1.0
-    spread = F.lit(2.0) / (9.0 * df)
-    p_chi = upper_tail((F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - (1.0 - spread)) / F.sqrt(spread))
-    ordered = F.array_sort(codes)
-    middle = F.element_at(ordered, (F.floor(F.size(codes) / 2) + 1).cast("int"))
-    above = F.transform(codes, lambda c: c >= middle)
-    high = F.size(F.filter(above, lambda b: b)).cast("double")
-    low = n - high
-    first, second = F.slice(above, F.lit(1), F.size(above) - 1), F.slice(above, F.lit(2), F.size(above) - 1)
-    runs = 1.0 + F.size(F.filter(F.zip_with(first, second, lambda a, b: a != b), lambda x: x)).cast("double")
-    mu = 1.0 + 2.0 * high * low / n
-    sd = F.sqrt(F.greatest(F.lit(1e-9), (mu - 1.0) * (mu - 2.0) / F.greatest(F.lit(1.0), n - 1.0)))
-    mean = F.aggregate(codes, F.lit(0.0), lambda a, c: a + c.cast("double")) / n
-    dev = F.transform(codes, lambda c: c.cast("double") - mean)
-    lag = F.zip_with(F.slice(dev, F.lit(1), F.size(dev) - 1), F.slice(dev, F.lit(2), F.size(dev) - 1), lambda a, b: a * b)
-    r = F.aggregate(lag, F.lit(0.0), lambda a, x: a + x) / F.greatest(F.lit(1e-9), F.aggregate(dev, F.lit(0.0), lambda a, x: a + x * x))
-    return F.least(F.lit(1.0), 3.0 * F.least(p_chi, two_sided((runs - mu) / sd), two_sided(r * F.sqrt(n))))
-
-
-def natural(s: Column) -> Column:
-    """Bound on the chance that a natural token of this length switches character class as often."""
-    kind = F.transform(F.split(s, ""), lambda c: F.when(c.rlike("[a-z]"), 0).when(c.rlike("[A-Z]"), 1).when(c.rlike("[0-9]"), 2).otherwise(3))
-    pairs = (F.length(s) - 1).cast("double")
-    moves = F.size(F.filter(F.zip_with(F.slice(kind, F.lit(1), F.size(kind) - 1), F.slice(kind, F.lit(2), F.size(kind) - 1), lambda a, b: a != b), lambda x: x)).cast("double")
-    f = F.least(F.lit(1.0 - 1e-9), F.greatest(moves / pairs, F.lit(1e-9)))
-    kl = f * F.ln(f / SWITCH) + (1.0 - f) * F.ln((1.0 - f) / (1.0 - SWITCH))
-    return F.when(f <= SWITCH, F.lit(1.0)).otherwise(F.exp(-pairs * kl))
-
-
-def random_spans(text: Column, base: Column) -> Column:
-    tokens = F.filter(located(text, CANDIDATE, 3), lambda s: s["inner"].rlike("[0-9]") & s["inner"].rlike("[A-Za-z]") & ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    tested = F.transform(tokens, lambda s: F.struct(natural(s["inner"]).alias("p"), randomness(s["inner"]).alias("q"), s["start"].alias("start"), s["end"].alias("end")))
-    ranked = F.array_sort(tested)
-    m = F.size(ranked).cast("double")
-    passing = F.transform(ranked, lambda s, i: F.when(s["p"] <= FDR * (i + 1).cast("double") / m, s["p"]))
-    least = F.array_max(F.filter(passing, lambda p: p.isNotNull()))
-    kept = F.filter(ranked, lambda s: (s["p"] <= least) & (s["q"] >= REJECT))
-    return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), F.lit(3).alias("kind"), s["end"].alias("end")))
-
-
-def scan(df: DataFrame, column: str = "text") -> DataFrame:
-    """Add ``base`` and ``spans``: arrays of (start, kind, end), kinds as in ``KINDS``, sorted by start and kind."""
+    """P(N > z) by a rational approximation of absolute error below 1e-7 (Abramowitz and Stegun 26.2.17)."""
+    x = F.abs(z)
+    t = 1.0 / (1.0 + 0.2316419 * x)
+    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    tail = F.exp(-x * x / 2.0) / F.lit(2.5066282746310002) * poly
+    return F.when(z >= 0, tail).otherwise(1.0 - tail)
+
+
+def inferred(s: Column) -> Column:
+    """Size of the alphabet of a token's encoding."""
+    return F.when(s.rlike("^([0-9a-f]+|[0-9A-F]+)$"), 16).when(s.rlike("^[A-Z2-7]+=*$"), 32).when(s.rlike("^([a-z0-9]+|[A-Z0-9]+)$"), 36).otherwise(64).cast("double")
+
+
+def kind_of(code: Column) -> Column:
+    return F.when((code >= 97) & (code <= 122), 0).when((code >= 65) & (code <= 90), 1).when((code >= 48) & (code <= 57), 2).otherwise(3)
+
+
+def neighbours(items: Column, pair: Callable[[Column, Column], Column]) -> Column:
+    """``pair`` of every item and the next one."""
+    return F.zip_with(F.slice(items, F.lit(1), F.size(items) - 1), F.slice(items, F.lit(2), F.size(items) - 1), pair)
+
+
+def battery(s: Column) -> Column:
+    """``chi, runs, serial``: for each test the chance that a token at the margin of what is natural looks as random."""
+
+    def statistics(codes: Column) -> Column:
+        counts = F.transform(F.array_distinct(codes), lambda c: F.size(F.filter(codes, lambda x: x == c)).cast("double"))
+        classes = F.transform(codes, kind_of)
+        mean = F.aggregate(codes, F.lit(0.0), lambda a, c: a + c) / F.size(codes)
+        dev = F.transform(codes, lambda c: c - mean)
+        r = let(dev, lambda d: F.aggregate(neighbours(d, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x) / F.greatest(F.lit(1e-9), F.aggregate(d, F.lit(0.0), lambda a, x: a + x * x)))
+        return F.struct(
+            F.size(codes).cast("double").alias("n"), inferred(s).alias("k"),
+            F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * c).alias("squares"),
+            F.size(F.filter(neighbours(classes, lambda a, b: a != b), lambda x: x)).cast("double").alias("moves"),
+            F.least(F.lit(0.999), F.abs(r)).alias("r"),
+        )
+
+    def values(x: Column) -> Column:
+        n, k = x["n"], x["k"]
+        df, far = k - 1.0, n * (k * F.when(k == 16, HEX_REPEATS).otherwise(REPEATS) - 1.0)
+        chi = upper_tail((df + far - (x["squares"] * k / n - n)) / F.sqrt(2.0 * (df + 2.0 * far)))
+        rate = F.when(k == 64, MIXED_SWITCH).otherwise(SWITCH)
+        f = F.least(F.lit(1.0 - 1e-9), F.greatest(x["moves"] / (n - 1.0), F.lit(1e-9)))
+        runs = F.when(f <= rate, F.lit(1.0)).otherwise(F.exp(-(n - 1.0) * (f * F.ln(f / rate) + (1.0 - f) * F.ln((1.0 - f) / (1.0 - rate)))))
+        serial = upper_tail((F.atanh(F.lit(CORRELATION)) - F.atanh(x["r"])) * F.sqrt(n - 3.0))
+        return F.struct(chi.alias("chi"), runs.alias("runs"), serial.alias("serial"))
+
+    return let(let(F.transform(F.split(s, ""), lambda c: F.ascii(c).cast("double")), statistics), values)
+
+
+def p_value(s: Column) -> Column:
+    """All tests have to reject: the largest of their p-values; 1 for tokens of one class."""
+    return F.when(s.rlike(CHANGES), let(battery(s), lambda b: F.greatest(b["chi"], b["runs"], b["serial"]))).otherwise(F.lit(1.0))
+
+
+def random_spans(text: Column) -> Column:
+    """Candidates that Benjamini-Hochberg keeps among all of the text."""
+
+    def decided(tested: Column) -> Column:
+        m = F.size(tested).cast("double")
+        passing = F.transform(tested, lambda s, i: F.when(s["p"] <= FDR * (i + 1).cast("double") / m, s["p"]))
+        least = F.array_max(F.filter(passing, lambda p: p.isNotNull()))
+        return let(F.coalesce(least, F.lit(-1.0)), lambda most: F.transform(F.filter(tested, lambda s: s["p"] <= most), lambda s: F.struct(s["start"].alias("start"), F.lit(3).alias("kind"), s["end"].alias("end"))))
+
+    tokens = let(pieces(without_base(text), CANDIDATE), lambda cut: F.filter(located(cut, 3), lambda s: ~F.contains(s["inner"], F.lit(MASK))))
+    tested = F.transform(tokens, lambda s: F.struct(p_value(s["inner"]).alias("p"), s["start"].alias("start"), s["end"].alias("end")))
+    return let(F.array_sort(tested), decided)
+
+
+def scan(df: DataFrame, column: str = "text", base: str = "base", spans: str = "spans") -> DataFrame:
+    """Add ``base`` and ``spans``: arrays of (start, kind, end), kinds as in ``KINDS``, sorted by start and kind.
+    Columns that have these two names already are replaced; others pass."""
     text = F.coalesce(F.col(f"`{column}`"), F.lit(""))
-    found = df.withColumn("base", F.array_sort(base_spans(text)))
-    return found.withColumn("spans", F.array_sort(F.concat("base", when_found(text, LIKELY, F.coalesce(random_spans(text, F.col("base")), F.array().cast(SPAN))))))
+    found = df.withColumn(base, base_spans(text))
+    return found.withColumn(spans, F.array_sort(F.concat(F.col(f"`{base}`"), when_found(text, LIKELY, random_spans(text)))))
+
+
+def redact(df: DataFrame, mark: str = "[SECRET]", column: str = "text", spans: str = "spans") -> DataFrame:
+    """Replace the text of all spans of a scanned frame; overlapping spans are replaced once.
+
+    The text is cut at blocks of spans first and inside the blocks next."""
+    text, listed = F.col(f"`{column}`"), F.col(f"`{spans}`")
+    most = lambda s, x: F.greatest(s, x["end"])
+
+    def inside(block: Column, head: Column) -> Column:
+        own = F.substr(text, head + 1, F.aggregate(block, head, most) - head)
+        none = F.struct(head.alias("at"), F.array().cast("array<string>").alias("out"))
 
+        def walk(part: Column) -> Column:
+            def step(s, x):
+                kept = F.concat(F.substr(part, s["at"] - head + 1, F.greatest(F.lit(0), x["start"] - s["at"])), F.lit(mark))
+                return F.struct(most(s["at"], x).alias("at"), F.when(x["start"] < s["at"], s["out"]).otherwise(F.concat(s["out"], F.array(kept))).alias("out"))
 
-def redact(df: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """Replace the text of all spans of a scanned frame; overlapping spans are replaced once."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+            return F.aggregate(block, none, step, lambda s: F.array_join(s["out"], ""))
 
-    def step(s, x):
-        new = F.struct(x["end"].alias("at"), F.concat(s["out"], F.substr("text", s["at"] + 1, F.greatest(F.lit(0), x["start"] - s["at"])), F.lit(mark)).alias("out"))
-        seen = F.struct(F.greatest(s["at"], x["end"]).alias("at"), s["out"].alias("out"))
-        return F.when(x["start"] < s["at"], seen).otherwise(new)
+        return let(own, walk)
 
-    clean = F.aggregate("spans", zero, step, lambda s: F.concat(s["out"], F.substr("text", s["at"] + 1, F.length("text"))))
-    return df.withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(F.col("text")))
+    made = let(blocks_of(listed), lambda b: F.array_join(F.zip_with(b, before_each(b, F.lit(0), most), inside), ""))
+    clean = F.concat(made, F.substr(text, F.aggregate(listed, F.lit(0), most) + 1, F.length(text)))
+    return df.withColumn(column, F.when(F.size(listed) > 0, clean).otherwise(text))
 
 
 def joined(spans: Column) -> Column:
