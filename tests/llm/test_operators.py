@@ -8,7 +8,7 @@ import pytest
 from oracle import connect, differences
 from pyspark.sql import functions as F
 
-from vecstrata.llm import bpe, decontaminate, language_model, near_vectors, ngram_join, quality, secrets, sharding, substrings, url_filter
+from vecstrata.llm import bpe, decontaminate, language_model, near_vectors, ngram_join, quality, secrets, sharding, substrings, tokens, url_filter
 from vecstrata.llm.registry import ORACLE
 from vecstrata.llm.shared import components
 
@@ -177,6 +177,54 @@ def test_ngram_join_finds_links_at_the_threshold(spark):
     assert got == sorted(brute.near_groups(docs))
 
 
+def random_texts(rnd, vocabulary, rows):
+    """Texts of a few bases with some words changed and some cut short; long, short and no words."""
+    bases = [[f"w{rnd.randrange(vocabulary)}" for _ in range(rnd.choice([6, 30, 120]))] for _ in range(4)]
+    docs = {}
+    for _ in range(rows):
+        w = list(rnd.choice(bases))
+        for _ in range(rnd.randrange(4)):
+            w[rnd.randrange(len(w))] = f"x{rnd.randrange(50)}"
+        if rnd.random() < 0.2:
+            w = w[: rnd.randrange(len(w))]
+        docs[rnd.randrange(10**6)] = " ".join(w)
+    return sorted(docs.items())
+
+
+@pytest.mark.parametrize("vocabulary, block", [(40, 128), (40, 8), (3000, 8)])
+def test_ngram_join_on_random_tables(spark, monkeypatch, vocabulary, block):
+    """Blocks of 8 send groups through pivots and through pairs of blocks."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    docs = random_texts(random.Random(vocabulary + block), vocabulary, 90)
+    got = rows(ngram_join.join(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)))
+    assert got == sorted(brute.near_groups(docs))
+
+
+@pytest.mark.parametrize("docs", [[(1, "one document alone with a few words")], [(1, "a b c d e f g"), (2, "h i j k l m n o")], [(5, "a b c d e f g"), (2, "A b c d e f g")]])
+def test_ngram_join_without_repeats(spark, docs):
+    """Buckets in which no shingle occurs twice."""
+    assert rows(ngram_join.join(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1))) == sorted(brute.near_groups(docs))
+
+
+def test_records_follow_the_input():
+    """A part sends 16 shingles or more to a bucket on average, from a gigabyte to 100 TB."""
+    for size in (10**9, 30 * 10**9, 10**12, 10**14):
+        buckets, entries = tokens.spread(size)
+        assert entries >= 16 * buckets and size / buckets <= 130e6 and entries <= 20_000_000
+
+
+def test_gaps_round_trip():
+    rng = np.random.default_rng(3)
+    for n, buckets in ((5, 48), (20_000, 48), (3000, 7)):
+        h = np.sort(rng.integers(0, 2**64, n, dtype=np.uint64))
+        home = ngram_join.home_of(h, buckets)
+        head = tokens.heads_of(home)
+        packed = ngram_join.packed_gaps(h, home, head, buckets).to_pylist()
+        size = np.diff(np.append(head, n))
+        back = [ngram_join.unpacked_gaps(p, int(m), ngram_join.floor_of(home[[a]], buckets)[0]) for p, m, a in zip(packed, size, head)]
+        assert (np.concatenate(back) == h).all()
+
+
 # 5. decontamination
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +63,24 @@ class Forest:
             self.links.append((a, b))
 
 
+def spanning(near: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join what the pairs of ``near`` join: rows have the ids ``a``, columns ``b``."""
+    links, todo = [], near.any(axis=1)
+    for first in np.flatnonzero(todo):
+        if not todo[first]:
+            continue
+        rows, seen, new = [], np.zeros(len(b), bool), np.array([first])
+        while len(new):
+            todo[new] = False
+            rows.append(new)
+            cols = near[new].any(axis=0) & ~seen
+            seen |= cols
+            new = np.flatnonzero(near[:, cols].any(axis=1) & todo)
+        ids = np.unique(np.concatenate([a[np.concatenate(rows)], b[seen]]))
+        links += [(int(ids[0]), i) for i in ids[1:].tolist()]
+    return links
+
+
 def contracted(links: DataFrame) -> DataFrame:
     """``u, v``: links that join the same nodes, at most one for each node and task."""
 

@@ -9,6 +9,7 @@ byte range, and the same over word hashes gives the hash of any word range.
 from __future__ import annotations
 
 import ctypes
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -170,3 +171,22 @@ def text_bytes(df, column: str = "text") -> int:
     if size < 1 << 60:
         return size
     return int(df.agg(F.sum(F.octet_length(column))).first()[0] or 0)
+
+
+def heads_of(keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins."""
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+
+
+def binaries(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Successive pieces of ``sizes`` bytes as one binary array, without a Python object for each."""
+    offsets = np.zeros(len(sizes) + 1, np.int32)
+    offsets[1:] = np.cumsum(sizes)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def spread(size: int, bucket_bytes: int = 3 << 20, least: int = 48) -> tuple[int, int]:
+    """Buckets for ``size`` bytes, and the entries of a part.  Both follow the root of the size once the buckets
+    are many, so that a part sends 16 entries to a bucket on average at any size: records follow the input."""
+    buckets = max(least, size // max(bucket_bytes, 12 * math.isqrt(size)))
+    return int(buckets), int(max(1_000_000, 16 * buckets))
