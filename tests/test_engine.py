@@ -139,8 +139,8 @@ def test_small_ef_is_refused(vectors, index):
 
 def test_choice_of_plan(vectors, index):
     q = vectors.where("vec_id = 3").select(F.col("vec_id").alias("qid"), "embedding")
-    assert rows(choose.nearest(index, q, 5)) == rows(knn.exact(index.points, q, 5))
-    assert choose.nearest(index, q, 5, rows=10**6).count() == 5
+    assert rows(choose.nearest(index, q, 5, exact=True)) == rows(knn.exact(index.points, q, 5))
+    assert rows(choose.nearest(index, q, 5, exact=False)) == rows(search.ann(index, q, 5, 100))
 
 
 def test_exact_skips_what_is_no_vector(spark):
@@ -165,8 +165,46 @@ def test_graph_errors(spark):
 
 
 def test_gapless_ids(spark):
-    df = spark.createDataFrame([(5,), (5,), (900,), (-3,), (None,)], "k long")
-    assert sorted(r["r"] for r in points.gapless(df, "k", "r").collect()) == list(range(5))
+    """Keys at both ends of a long, ties, NULL, and columns with the names used inside."""
+    keys = [-(2**63), 5, 5, 5, None, 2**63 - 1, 2**62, 0, -3]
+    df = spark.createDataFrame([(k, i, i % 2, "x", "y", "z") for i, k in enumerate(keys)], "k long, i int, g int, _place string, _range string, _lo string").repartition(3)
+    got = points.gapless(df, "k", "r").collect()
+    assert sorted(r["r"] for r in got) == list(range(9)) and {"_place", "_range", "_lo"} <= set(got[0].asDict())
+    assert [r["k"] for r in sorted(got, key=lambda r: r["r"])] == sorted(keys, key=lambda k: -(2**64) if k is None else k)
+    for g in (0, 1):
+        own = sorted(points.gapless(df, "k", "r", ("g",)).where(f"g = {g}").collect(), key=lambda r: r["r"])
+        assert [r["r"] for r in own] == list(range(len(own)))
+        assert [r["k"] for r in own] == sorted((k for i, k in enumerate(keys) if i % 2 == g), key=lambda k: -(2**64) if k is None else k)
+    assert points.gapless(df.limit(0), "k", "r").count() == 0
+
+
+def test_every_insert_is_checked(spark, vectors):
+    """Default parameters: NULL, NaN, empty and other widths are refused when an index is built or extended."""
+    kind = "vec_id long, embedding array<float>"
+    good = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], kind)
+    built = build.build(good, PARAMS)
+    assert built.params.dim == 2
+    for odd in (None, [math.nan, 1.0], [], [1.0, 2.0, 3.0], [1.0, None]):
+        bad = spark.createDataFrame([(9, odd)], kind)
+        with pytest.raises(ValueError):
+            build.build(good.unionByName(bad), PARAMS)
+        with pytest.raises(ValueError):
+            build.insert(built, bad, 1)
+
+
+def test_missing_ids_are_refused_on_demand(spark, vectors):
+    ids = spark.createDataFrame([(3,), (10**6,)], "vec_id long")
+    assert points.lookup_many(vectors, ids).count() == 1
+    with pytest.raises(ValueError):
+        points.lookup_many(vectors, ids, check=True)
+    nodes, edges = graph.simple_graph(spark)
+    with pytest.raises(ValueError):
+        graph.remove_edges(edges, spark.createDataFrame([(0, 77)], "src long, dst long"), nodes)
+
+
+def test_layers(index):
+    assert build.layer_count(index) == index.points.agg(F.max("level")).first()[0] + 1
+    assert build.layer(index, 0).count() + build.layer(index, 1).count() <= index.edges.count()
 
 
 def test_page_capacity(spark):

@@ -15,7 +15,7 @@ neighbour step inside a shard stays bounded and the whole build is linear in the
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -134,25 +134,41 @@ def capped(edges: DataFrame, params: IndexParams) -> DataFrame:
     return both.where("within or tree").select("shard", "layer", ends.alias("e"), "dist", "tree").select("shard", "layer", "e.src", "e.dst", "dist", "tree")
 
 
-def build(vectors: DataFrame, params: IndexParams, rows: int | None = None) -> Index:
-    """Build over ``vec_id, embedding``.  ``rows`` saves a count when it is known."""
-    rows = vectors.count() if rows is None else rows
+def build(vectors: DataFrame, params: IndexParams) -> Index:
+    """Build over ``vec_id, embedding``.  Every row is checked: NULL, empty and non-finite vectors and
+    vectors of another width than ``params.dim`` (or than the others) raise ``ValueError``."""
+    rows, width = check_vectors(vectors, params.dim)
+    params = replace(params, dim=width if params.dim is None else params.dim)
     shards = max(1, -(-rows // params.shard_rows))
-    if params.dim is not None:
-        check_vectors(vectors, params.dim)
     points = make_points(vectors, params).withColumns({"shard": shard_of(F.col("vec_id"), shards), "batch": F.lit(0)})
     return Index(points, capped(symmetric(candidates(points, params)), params), params, shards)
 
 
 def insert(index: Index, vectors: DataFrame, batch: int) -> Index:
-    """Add vectors with fresh ids.  They follow every older node in the order, so a newcomer of
-    a higher level is linked downward and the older graph stays reachable from the new entry point."""
-    if index.params.dim is not None:
-        check_vectors(vectors, index.params.dim)
-    new = make_points(vectors, index.params).withColumns({"shard": shard_of(F.col("vec_id"), index.shards), "batch": F.lit(batch)})
+    """Add vectors with fresh ids, checked like those of ``build``.  They follow every older node in the order, so a
+    newcomer of a higher level is linked downward and the older graph stays reachable from the new entry point."""
+    _, width = check_vectors(vectors, index.params.dim)
+    params = replace(index.params, dim=width if index.params.dim is None else index.params.dim)
+    new = make_points(vectors, params).withColumns({"shard": shard_of(F.col("vec_id"), index.shards), "batch": F.lit(batch)})
     points = index.points.unionByName(new)
-    fresh = symmetric(candidates(points, index.params, since_batch=batch))
-    return Index(points, capped(index.edges.unionByName(fresh), index.params), index.params, index.shards)
+    fresh = symmetric(candidates(points, params, since_batch=batch))
+    return Index(points, capped(index.edges.unionByName(fresh), params), params, index.shards)
+
+
+def extended(edges: DataFrame) -> DataFrame:
+    """``src, dst``: neighbours and their neighbours, the candidates that selection can be widened to."""
+    e = edges.select("src", "dst")
+    hop = e.join(e.select(F.col("src").alias("dst"), F.col("dst").alias("to")), "dst").where("src <> to").select("src", F.col("to").alias("dst"))
+    return hop.union(e).distinct()
+
+
+def layer(index: Index, number: int) -> DataFrame:
+    """Edges of one layer; the predicate prunes folders of a stored index."""
+    return index.edges.where(F.col("layer") == number)
+
+
+def layer_count(index: Index) -> int:
+    return int(index.points.agg(F.coalesce(F.max("level") + 1, F.lit(0))).first()[0])
 
 
 def membership(points: DataFrame) -> DataFrame:

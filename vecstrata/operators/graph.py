@@ -33,7 +33,15 @@ def add_edges(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, check: bool
     return edges.select("src", "dst").union(both_ways(pairs)).distinct()
 
 
-def remove_edges(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+def contains(nodes: DataFrame, asked: DataFrame) -> DataFrame:
+    """``node, found`` for every node asked for."""
+    return asked.select("node").distinct().join(nodes.select("node", F.lit(True).alias("found")).distinct(), "node", "left").select("node", F.coalesce("found", F.lit(False)).alias("found"))
+
+
+def remove_edges(edges: DataFrame, pairs: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """Drop pairs both ways; with ``nodes`` an unknown end raises ``ValueError``."""
+    if nodes is not None and (first := missing_nodes(nodes, pairs).head(1)):
+        raise ValueError(f"node {first[0][0]} is not in the graph")
     return edges.join(both_ways(pairs), ["src", "dst"], "left_anti")
 
 

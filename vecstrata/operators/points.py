@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dequantize, draw_level, is_finite, l2, quantize
 from ..params import IndexParams
+from ..storage import cut, quoted, unused
 
 PAGE_ROWS = 32
 
@@ -19,10 +20,18 @@ def invalid_rows(vectors: DataFrame, width: int | None = None) -> DataFrame:
     return vectors.where(F.coalesce(bad, F.lit(True)))
 
 
-def check_vectors(vectors: DataFrame, width: int) -> None:
-    """Raise ``ValueError`` when any row has to be refused; one cheap pass, stops at the first."""
-    if first := invalid_rows(vectors, width).select("vec_id").head(1):
-        raise ValueError(f"vector {first[0][0]} is null, has non-finite components or is not of dimension {width}")
+def check_vectors(vectors: DataFrame, width: int | None = None) -> tuple[int, int | None]:
+    """Rows and their width, in one pass.  Raises ``ValueError`` when a row has to be refused: no vector,
+    non-finite components, or another width than ``width`` (by default, than the other rows)."""
+    size, bad = F.size("embedding"), F.coalesce(~is_finite(F.col("embedding")), F.lit(True))
+    if width is not None:
+        bad = bad | (size != width)
+    rows, refused, low, high = vectors.agg(F.count("*"), F.min(F.when(bad, F.struct("vec_id"))), F.min(size), F.max(size)).first()
+    if refused is not None:
+        raise ValueError(f"vector {refused[0]} is null, has non-finite components or is not of the index's dimension")
+    if low != high:
+        raise ValueError(f"vectors have from {low} to {high} components")
+    return rows, low
 
 
 def widths(vectors: DataFrame) -> DataFrame:
@@ -45,8 +54,7 @@ def decoded(points: DataFrame) -> DataFrame:
 def append(points: DataFrame, vectors: DataFrame) -> DataFrame:
     """``vectors`` (any ids) get the ids after the largest one present, in order of their own ``vec_id``.
 
-    Ranks come from per-bucket counts, not from one global window: rows are dealt by
-    ranges of the id, numbered inside a range, and moved by the rows of earlier ranges.
+    Ranks come from counts of ranges, not from one global window; see ``gapless``.
     """
     numbered = gapless(vectors, "vec_id", "rank")
     top = points.agg(F.coalesce(F.max("vec_id"), F.lit(-1)).alias("top"))
@@ -55,30 +63,44 @@ def append(points: DataFrame, vectors: DataFrame) -> DataFrame:
     )
 
 
-def gapless(df: DataFrame, key: str, name: str, groups: tuple[str, ...] = (), buckets: int = 64) -> DataFrame:
-    """Add ``name``: 0-based ranks by an integral ``key`` within ``groups``, without one task for each group.
+def gapless(df: DataFrame, key: str, name: str, groups: tuple[str, ...] = ()) -> DataFrame:
+    """Add ``name``: 0-based ranks by ``key`` (NULL first) within ``groups``, for keys of any type and spread.
 
-    The key range is cut in ``buckets`` equal parts; ranks inside a part are windows, and
-    parts are joined by a prefix sum over at most ``buckets`` rows for each group.
+    Rows are dealt by ranges of group and key, which sampling makes even, sorted inside a range and written
+    with their places; counts of the ranges, one row for each, move them to their ranks.  Rows with equal keys
+    are ordered by a hash, so that a key with many rows can be split.  A column called ``name`` is replaced,
+    all others pass.
     """
-    ends = df.agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"))
-    span = F.greatest(F.lit(1), F.expr(f"(_hi - _lo) div {buckets} + 1"))
-    part = F.coalesce(F.floor((F.col(key) - F.col("_lo")) / span).cast("int"), F.lit(-1))
-    dealt = df.crossJoin(F.broadcast(ends)).withColumn("_part", part).drop("_lo", "_hi")
-    counts = dealt.groupBy(*groups, "_part").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*groups, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*groups, "_part").orderBy(key)
-    ranked = dealt.withColumn("_rn", F.row_number().over(inside))
-    return ranked.join(offsets, [*groups, "_part"]).withColumn(name, (F.col("_before") + F.col("_rn") - 1).cast("long")).drop("_part", "_before", "_rn")
+    df = df.drop(name)
+    place, part, moved, start = (unused(df, x) for x in ("_place", "_range", "_moved", "_start"))
+    flat = [quoted(c) for c, t in df.dtypes if "map<" not in t and "variant" not in t]
+    order = [*[quoted(g) for g in groups], quoted(key), F.xxhash64(*flat)]
+    dealt = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(place, F.monotonically_increasing_id()), "ranges")
+    number = F.shiftright(quoted(place), 33)
+    counts = dealt.groupBy(number.alias(part)).agg(F.count("*").alias("n"))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    offsets = counts.select(part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(moved))
+    rank = F.col(moved) + quoted(place).bitwiseAND((1 << 33) - 1)
+    ranked = dealt.withColumn(part, number).join(F.broadcast(offsets), part).withColumn(name, rank).drop(place, part, moved)
+    if groups:
+        first = ranked.groupBy(*[quoted(g) for g in groups]).agg(F.min(quoted(name)).alias(start))
+        named = {g: unused(ranked, f"_{i}") for i, g in enumerate(groups)}
+        first = first.select(start, *[quoted(g).alias(n) for g, n in named.items()])
+        same = [quoted(g).eqNullSafe(quoted(n)) for g, n in named.items()]
+        ranked = ranked.join(first, same).withColumn(name, quoted(name) - quoted(start)).drop(start, *named.values())
+    return ranked
 
 
 def lookup(points: DataFrame, vec_id: int) -> DataFrame:
     return points.where(F.col("vec_id") == F.lit(vec_id))
 
 
-def lookup_many(points: DataFrame, ids: DataFrame) -> DataFrame:
-    return points.join(ids.select("vec_id").distinct(), "vec_id", "left_semi")
+def lookup_many(points: DataFrame, ids: DataFrame, check: bool = False) -> DataFrame:
+    """The points with these ids; with ``check`` an unknown id raises ``ValueError``."""
+    asked = ids.select("vec_id").distinct()
+    if check and (first := asked.join(points.select("vec_id"), "vec_id", "left_anti").head(1)):
+        raise ValueError(f"no point has the id {first[0][0]}")
+    return points.join(asked, "vec_id", "left_semi")
 
 
 def distances(points: DataFrame, pairs: DataFrame, vector: str = "embedding") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Exact or graph search, whichever suits the table."""
+"""Exact or graph search, as the caller asks: the answers differ, so the size of a table does not decide."""
 
 from __future__ import annotations
 
@@ -7,10 +7,7 @@ from pyspark.sql import DataFrame
 from ..operators import knn, search
 from ..operators.build import Index
 
-#: Up to so many points a scan beats a walk through the graph.
-EXACT_ROWS = 5_000
 
-
-def nearest(index: Index, queries: DataFrame, k: int, ef: int = 100, rows: int | None = None) -> DataFrame:
-    rows = index.points.count() if rows is None else rows
-    return knn.exact(index.points, queries, k) if rows <= EXACT_ROWS else search.ann(index, queries, k, max(ef, k))
+def nearest(index: Index, queries: DataFrame, k: int, exact: bool, ef: int = 100) -> DataFrame:
+    """``qid, nid, dist, rank``: by a scan of the full vectors, or by the graph over their codes."""
+    return knn.exact(index.points, queries, k) if exact else search.ann(index, queries, k, max(ef, k))
