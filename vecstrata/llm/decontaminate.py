@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, quoted, unused
+from .shared import columns, cut, unused
 from .tokens import ALNUM, U, Words, minimum_of, release, small_batches, text_slices, words
 
 WINDOW, GRAM = 13, 6
@@ -149,4 +149,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, words_hit: int = WINDOW) -> Dat
     k1, k2 = row_keys(F.col("doc_id"), F.col("text"))
     a, b = unused(docs, "_k1"), unused(docs, "_k2")
     bad = judge(docs, benchmark).where(F.col("contaminated") | (F.col("n_hit") >= words_hit)).select(F.col("k1").alias(a), F.col("k2").alias(b)).distinct()
-    return docs.withColumns({a: k1, b: k2}).join(bad, [a, b], "left_anti").select(*quoted(docs))
+    return docs.withColumns({a: k1, b: k2}).join(bad, [a, b], "left_anti").select(*columns(docs))

@@ -5,7 +5,9 @@ on the key and the shard list alone, so one shard more takes records only into i
 shard of weight w gets a share in proportion to w.
 
 Nulls: a NULL key is hashed as a key of its own and NULL text has no bytes.  Equal keys get one
-shard.  Ties of scores go to the larger shard number.  An empty table gives an empty result.
+shard, and places of their own in it.  Ties of scores go to the larger shard number.  Only the length and
+the checksum of a very long text travel.  An empty table gives an empty result.  Other columns pass;
+those named like the shard or the place are replaced.
 """
 
 from __future__ import annotations
@@ -39,9 +41,9 @@ def assign(df: DataFrame, key: str, weights: Sequence[float], name: str = "shard
     return df.withColumn(name, choose(F.col(key), weights))
 
 
-def numbered(df: DataFrame, key: str, shard: str = "shard", name: str = "slot", buckets: int = 256) -> DataFrame:
-    """Add gapless 0-based places inside each shard, in key order, over many parts of a shard."""
-    return gapless(df, key, name, (shard,), buckets)
+def numbered(df: DataFrame, key: str, shard: str = "shard", name: str = "slot") -> DataFrame:
+    """Add gapless 0-based places inside each shard, in key order; a shard of any size is dealt over many parts."""
+    return gapless(df, key, name, (shard,))
 
 
 def moved(df: DataFrame, key: str, old: Sequence[float], new: Sequence[float]) -> DataFrame:

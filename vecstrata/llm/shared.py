@@ -2,45 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
-
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
-def quoted(df: DataFrame) -> list[Column]:
-    """The columns of a frame, whatever characters their names hold."""
-    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+from ..storage import columns, cut, drop_cut, quoted, unused
 
+__all__ = ["Forest", "columns", "components", "cut", "drop_cut", "lower_ascii", "paired_blocks", "quoted", "shuffle_partitions", "spanning", "table", "unused"]
 
-def unused(df: DataFrame, name: str) -> str:
-    """``name``, made longer until no column of the frame has it."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: a cut of the lineage that any executor can read."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/vecstrata/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_cut(df: DataFrame) -> None:
-    """Delete the files of a cut that nothing reads any more."""
-    spark = df.sparkSession
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 class Forest:
