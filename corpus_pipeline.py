@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecstrata.llm import bpe, decontaminate, ngram_join, quality, secrets
-from vecstrata.llm.shared import cut, quoted, table, unused
+from vecstrata.llm.shared import columns, cut, table, unused
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     again = keyed.groupBy(F.col("doc_id").alias(i), F.col(hashed).alias(t)).agg(F.count("*").alias(n)).where(F.col(n) > 1).drop(n)
     same = F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(hashed) == F.col(t))
     repeated = keyed.join(again, same, "left_semi").dropDuplicates(["doc_id", hashed])
-    return keyed.join(again, same, "left_anti").unionByName(repeated).select(*quoted(docs))
+    return keyed.join(again, same, "left_anti").unionByName(repeated).select(*columns(docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All secrets found are replaced; ``n_chars`` follows the text."""
-    held = docs.select(F.struct(*quoted(docs)).alias("row"), "text")
+    held = docs.select(F.struct(*columns(docs)).alias("row"), "text")
     clean = secrets.redact(secrets.scan(held))
     made = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return clean.select(*[made.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
