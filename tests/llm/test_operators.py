@@ -153,6 +153,29 @@ def test_sharding(odd_docs, odd_rows, no_docs, spark):
     assert sharding.assign(spark.createDataFrame([(None,)], "k long"), "k", [1.0, 1.0]).first()["shard"] is not None
 
 
+def test_shards_against_brute_force(spark, real, sf):
+    """Shards by the law itself, with the hashes of another library; ids at the ends of a long, NULL and repeated."""
+    xxhash = pytest.importorskip("xxhash")
+
+    def hashed(key, shard):
+        h = 42 if key is None else xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), 42)
+        for x in (int(key is None), shard):
+            h = xxhash.xxh64_intdigest(x.to_bytes(4, "little"), h)
+        return h
+
+    def shard_of(key, n):
+        return max((-1 / math.log(((hashed(key, i) >> 11) + 0.5) / 2**53), i) for i in range(n))[1]
+
+    odd = [-(2**63), 2**63 - 1, 2**62, -(2**62), None, 0, 7, 7, None]
+    got = sharding.documents_query(spark.createDataFrame([(k, "t") for k in odd], "doc_id long, text string")).collect()
+    got += sharding.documents_query(spark.read.parquet(f"{sf}/documents.parquet")).collect()
+    assert all((r["shard"], r["grown_shard"]) == (shard_of(r["doc_id"], 24), shard_of(r["doc_id"], 25)) for r in got)
+    assert len(got) == len(odd) + len(real)
+    for part in (got[: len(odd)], got[len(odd) :]):
+        for s in {r["shard"] for r in part}:
+            assert sorted(r["slot"] for r in part if r["shard"] == s) == list(range(sum(r["shard"] == s for r in part)))
+
+
 # 4. n-gram join
 
 
