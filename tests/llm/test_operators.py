@@ -447,6 +447,43 @@ def test_substrings(odd_docs, odd_rows, no_docs, spark, real, sf):
     assert rows(substrings.documents_query(spark.read.parquet(f"{sf}/documents.parquet"))) == sorted(brute.without_repeats(sorted(real.items())))
 
 
+def test_substrings_on_random_documents(spark):
+    """Passages cut short, repeated inside a document, branching into others; ids given to several texts."""
+    rnd = random.Random(3)
+    passages = [[f"p{j}w{i}" for i in range(rnd.choice([49, 50, 60, 120]))] for j in range(6)]
+    docs = []
+    for _ in range(60):
+        w = []
+        for _ in range(rnd.randrange(5)):
+            w += [f"u{rnd.randrange(10**6)}" for _ in range(rnd.choice([0, 1, 10, 60]))]
+            q = rnd.choice(passages)[rnd.choice([0, 0, 7]) :]
+            w += q + (rnd.choice(passages) if rnd.random() < 0.4 else [])
+        docs.append((rnd.randrange(40), " ".join(w)))
+    docs += [(100, None), (101, ""), (102, "a " * 120), (103, "a " * 130), docs[3]]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for parts in (1, 5):
+        assert rows(substrings.documents_query(df.repartition(parts))) == sorted(brute.without_repeats(docs))
+
+
+def test_branches_and_paths(spark):
+    """Two documents leave a shared passage by different shared ways: the path ends where they part."""
+    way = lambda name, n: [f"{name}{i}" for i in range(n)]
+    docs = [(1, way("a", 80) + way("b", 60)), (2, way("a", 80) + way("c", 60)), (3, way("a", 80) + way("b", 60)), (4, way("a", 80) + way("c", 60)), (5, way("x", 9) + way("a", 80))]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string").repartition(5)
+    got = [(r["doc_id"], r["start"], r["size"], r["src"], r["src_start"]) for r in substrings.repeated_paths(df).collect()]
+    assert sorted(got) == [(2, 0, 31, 1, 0), (3, 0, 31, 1, 0), (3, 31, 60, 1, 31), (4, 0, 31, 1, 0), (4, 31, 60, 2, 31), (5, 9, 31, 1, 0)]
+
+
+def test_paths_that_differ_from_their_source_are_refused(spark):
+    """What two equal hashes of different words would give: the document is made anew without that path."""
+    texts = [" ".join(f"w{i}" for i in range(100)), "x " + " ".join(f"w{i}" for i in range(100)), " ".join(f"v{i}" for i in range(100))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    key = dict(df.select("doc_id", F.xxhash64("text")).collect())
+    found = [(1, key[1], 1, 51, 0, key[0], 0), (2, key[2], 0, 51, 0, key[0], 0), (2, key[2], 0, 51, 9, 9, 0), (1, key[1], 40, 4, 0, key[0], 0)]
+    got = rows(substrings.remove(df, spark.createDataFrame(found, substrings.PIECES), emit="text"))
+    assert got == [(0, 100, 0, texts[0]), (1, 101, 100, "x"), (2, 100, 0, texts[2])]
+
+
 # shared
 
 
