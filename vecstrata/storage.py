@@ -10,11 +10,16 @@ from pyspark.sql import functions as F
 from .session import shared_folder
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: a cut of the lineage that any executor can read."""
+def cut(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again: a cut of the lineage that any executor can read.
+
+    With ``free`` the driver collects its garbage, so that executors delete shuffle files that only the
+    writing has read; for cuts behind large shuffles."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/vecstrata/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if free:
+        spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
