@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, cut, shuffle_partitions, spanning
+from .shared import components, cut, drop_cut, shuffle_partitions, spanning
 from .tokens import SPACED, U, binaries, heads_of, mix, release, small_batches, spread, text_bytes, text_slices, words
 
 SHINGLE, PERCENT, ORDERS = 5, 80, 3
@@ -231,11 +231,11 @@ def prefix_groups(candidates: DataFrame, orders: int) -> DataFrame:
     """``sig, label``: classes that share prefix tokens, directly or through others, under every order."""
     node = lambda k: F.xxhash64("sig", k)  # noqa: E731  one id for a class under an order, so that one run labels all orders
     rows = candidates.select("sig", F.posexplode("prefixes").alias("k", "tokens")).select(node("k").alias("node"), "k", F.explode("tokens").alias("token"))
-    low = cut(rows.groupBy("k", "token").agg(F.min("node").alias("low"), F.count("*").alias("c")).where("c > 1").drop("c"), "tokens")
+    low = cut(rows.groupBy("k", "token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").drop("high"), "tokens")
     star = rows.join(low, ["k", "token"]).where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
     labels = components(star)
     ks = F.explode(F.sequence(F.lit(0), F.lit(orders - 1))).alias("k")
-    every = candidates.select("sig", ks).select("sig", "k", node("k").alias("id")).join(labels, "id")
+    every = candidates.select("sig").distinct().select("sig", ks).select("sig", "k", node("k").alias("id")).join(labels, "id")
     # a class without a label under some order shares no prefix token there and drops out
     by_order = every.groupBy("sig").agg(F.sort_array(F.collect_list(F.struct("k", "label"))).alias("l")).where(F.size("l") == orders)
     return by_order.select("sig", F.xxhash64("l").alias("label"))
@@ -274,16 +274,21 @@ def found_links(part: pd.DataFrame, others: pd.DataFrame | None, percent: int) -
     return both / either, spanning(100 * both >= percent * either, ids, ids_b)
 
 
-def in_blocks(grouped: DataFrame, sizes: DataFrame, tasks: int, percent: int) -> DataFrame:
+def in_blocks(sets: DataFrame, placed: DataFrame, tasks: int, percent: int) -> DataFrame:
     """``a, b`` for spanning links inside the blocks of all groups and with their pivots; for the rows of
-    groups of several blocks also ``label, sig, n, far``: their distances to the pivots of the group."""
-    dealt = grouped.join(sizes.select("label", "blocks"), "label").withColumn("own", F.pmod(F.xxhash64("sig"), F.col("blocks")))
-    several = dealt.where("blocks > 1")
+    groups of several blocks also ``label, sig, n, far``: their distances to the pivots of the group.
+
+    ``sets`` may hold a class more than once.  They are shuffled to the places of their classes and from there
+    to their blocks; a pivot goes to every block of its group."""
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("sig"), F.col("blocks")))
     least = [F.min(F.struct(F.xxhash64("sig", F.lit(i)).alias("h"), "sig")).alias(f"p{i}") for i in range(PIVOTS)]
-    chosen = several.groupBy("label", "blocks").agg(*least).select("label", "blocks", F.explode(F.array_distinct(F.array(*[F.col(f"p{i}.sig") for i in range(PIVOTS)]))).alias("sig"))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("own")
-    pivots = chosen.join(grouped.select("sig", "n", "tokens"), "sig").select("label", "blocks", every, "sig", "n", "tokens", F.lit(1).alias("pivot"))
-    rows = dealt.select("label", "blocks", "own", "sig", "n", "tokens", F.lit(0).alias("pivot")).unionByName(pivots)
+    several = placed.where("blocks > 1").groupBy("label").agg(*least)
+    chosen = several.select(F.explode(F.array_distinct(F.array(*[F.col(f"p{i}.sig") for i in range(PIVOTS)]))).alias("sig"), F.lit(True).alias("chosen"))
+    at = lambda own, pivot: F.struct(own.alias("own"), F.lit(pivot).alias("pivot"))
+    everywhere = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda i: at(i, 1))
+    homes = F.concat(F.array(at(F.col("own"), 0)), F.when(F.col("chosen"), everywhere).otherwise(F.array().cast("array<struct<own:bigint,pivot:int>>")))
+    once = sets.join(placed.join(chosen, "sig", "left"), "sig").dropDuplicates(["sig"])
+    rows = once.select("label", F.explode(homes).alias("home"), "sig", "n", "tokens").select("label", "home.*", "sig", "n", "tokens")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -304,7 +309,7 @@ def in_blocks(grouped: DataFrame, sizes: DataFrame, tasks: int, percent: int) ->
     return rows.withColumn("task", F.pmod(F.xxhash64("label", "own"), F.lit(tasks))).groupBy("task").applyInPandas(run, "a long, b long, label long, sig long, n long, far array<float>")
 
 
-def across_blocks(grouped: DataFrame, seen: DataFrame, labels: DataFrame, tasks: int, percent: int) -> DataFrame:
+def across_blocks(sets: DataFrame, seen: DataFrame, labels: DataFrame, tasks: int, percent: int) -> DataFrame:
     """``a, b``: spanning links between blocks of different components of one group.
 
     ``seen`` are rows with their distances to the pivots.  A large component has blocks of its own, the rest
@@ -331,7 +336,7 @@ def across_blocks(grouped: DataFrame, seen: DataFrame, labels: DataFrame, tasks:
         allowed &= F.coalesce((F.col(f"u.lo{i}") - F.col(f"v.hi{i}") <= room) & (F.col(f"v.lo{i}") - F.col(f"u.hi{i}") <= room), F.lit(True))
     pairs = u.join(v, (F.col("u.label") == F.col("v.label")) & allowed).select(F.col("u.unit").alias("i"), F.col("v.unit").alias("j"))
     sides = F.explode(F.when(F.col("i") == F.col("j"), F.array("i")).otherwise(F.array("i", "j"))).alias("unit")
-    dealt = cut(pairs, "pairs").select("i", "j", sides).join(rows.select("unit", "sig"), "unit").join(grouped.select("sig", "n", "tokens"), "sig")
+    dealt = cut(pairs, "pairs").select("i", "j", sides).join(rows.select("unit", "sig"), "unit").join(sets, "sig").dropDuplicates(["i", "j", "sig"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int]] = []
@@ -344,18 +349,18 @@ def across_blocks(grouped: DataFrame, seen: DataFrame, labels: DataFrame, tasks:
     return dealt.withColumn("task", F.pmod(F.xxhash64("i", "j"), F.lit(tasks))).groupBy("task").applyInPandas(run, "a long, b long")
 
 
-def linked(grouped: DataFrame, percent: int) -> DataFrame:
-    """``id, label``: components of the classes of ``label, sig, n, tokens`` by similarity, inside each label."""
-    counted = grouped.groupBy("label").agg(F.count("*").alias("c")).where("c > 1")
+def linked(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """``id, label``: components of the classes ``sig, n, tokens`` by similarity, inside the groups ``sig, label``."""
+    counted = groups.groupBy("label").agg(F.count("*").alias("c")).where("c > 1")
     sizes = cut(counted.withColumn("blocks", F.ceil(F.col("c") / BLOCK)), "sizes")
     total, most = sizes.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.max("blocks"), F.lit(0))).first()
-    tasks = max(4 * shuffle_partitions(grouped.sparkSession), total // TASK_ROWS)
-    first = cut(in_blocks(grouped, sizes, tasks, percent), "in_blocks")
+    tasks = max(4 * shuffle_partitions(sets.sparkSession), total // TASK_ROWS)
+    first = cut(in_blocks(sets, groups.join(sizes.select("label", "blocks"), "label"), tasks, percent), "in_blocks", free=True)
     labels = components(first.where("a is not null").select("a", "b"))
     if most <= 1:
         return labels
     labels = cut(labels, "labels")
-    more = across_blocks(grouped, first.where("sig is not null").select("label", "sig", "n", "far"), labels, tasks, percent)
+    more = across_blocks(sets, first.where("sig is not null").select("label", "sig", "n", "far"), labels, tasks, percent)
     return components(cut(more.unionByName(labels.select(F.col("id").alias("a"), F.col("label").alias("b"))), "across"))
 
 
@@ -363,13 +368,13 @@ def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, orders: int
     """``doc_id, n_shingles, component_id`` for every row with a doc_id."""
     small_batches(docs.sparkSession)
     buckets, entries = spread(text_bytes(docs))
-    both = cut(classes(answered(mapped(docs, k, buckets, entries), buckets), percent, orders), "classes")
+    both = cut(classes(answered(mapped(docs, k, buckets, entries), buckets), percent, orders), "classes", free=True)
     rows = both.where("doc_id is not null").select("doc_id", "n", F.when(F.col("n") > 0, F.col("sig")).alias("sig"))
-    candidates = cut(both.where("doc_id is null").drop("doc_id").dropDuplicates(["sig"]), "candidates")
-    groups = prefix_groups(candidates.select("sig", "prefixes"), orders)
-    grouped = cut(candidates.select("sig", "n", "tokens").join(groups, "sig"), "grouped")
-    labels = linked(grouped, percent)
+    candidates = both.where("doc_id is null")
+    groups = cut(prefix_groups(candidates.select("sig", "prefixes"), orders), "groups", free=True)
+    labels = linked(candidates.select("sig", "n", "tokens"), groups, percent)
     keyed = rows.join(labels.withColumnRenamed("id", "sig"), "sig", "left").select("doc_id", "n", F.coalesce("label", "sig").alias("key"))
     keyed = cut(keyed, "keyed")
+    drop_cut(both)  # nothing reads the sets any more
     low = cut(keyed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("low")), "lowest")
     return keyed.join(low, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("low", "doc_id").alias("component_id"))

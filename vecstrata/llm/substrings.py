@@ -193,7 +193,7 @@ def paths(pieces: DataFrame) -> DataFrame:
 def repeated_paths(docs: DataFrame, k: int = WINDOW, seed: int = SEED) -> DataFrame:
     """``PIECES``: all paths of repeated edges, with the coordinates of their source."""
     small_batches(docs.sparkSession)
-    return cut(paths(cut(local_pieces(docs, k, seed), "pieces")), "paths")
+    return cut(paths(cut(local_pieces(docs, k, seed), "pieces", free=True)), "paths")
 
 
 MADE = "doc_id long, key long, n_words long, n_removed long, kept string, sums array<struct<start:int,size:int,mine:boolean,sum:binary>>"
@@ -249,7 +249,7 @@ def unequal(made: DataFrame, found: DataFrame) -> DataFrame:
 def remove(docs: DataFrame, found: DataFrame, k: int = WINDOW, emit: str = "digest") -> DataFrame:
     """Take the words of verified paths out.  ``emit`` is ``digest`` or ``text`` (kept words joined by one space)."""
     small_batches(docs.sparkSession)
-    made = cut(taken_out(docs, found, k, emit), "made")
+    made = cut(taken_out(docs, found, k, emit), "made", free=True)
     last = "kept_sha256" if emit == "digest" else "kept"
     result = lambda df: df.select("doc_id", "n_words", "n_removed", F.col("kept").alias(last))
     wrong = cut(unequal(made, found), "unequal")
