@@ -441,6 +441,14 @@ def ann_ef_full(spark, sf):
     return search.ann(index(spark, sf), asked(v), K, v.count())
 
 
+@registered("SELECT vec_id FROM embeddings")
+def ann_build(spark, sf):
+    """An index, built and written: what comes before the search of ``ann_top10``."""
+    path = scratch(spark)
+    store.save(index(spark, sf), path)
+    return store.load(spark, path).points.select("vec_id")
+
+
 @registered()
 def ann_top10(spark, sf):
     return search.ann(index(spark, sf), asked(vectors(spark, sf)), K, EF)
