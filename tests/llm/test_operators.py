@@ -9,7 +9,7 @@ from oracle import connect, differences
 from pyspark.sql import functions as F
 
 from vecstrata.llm import bpe, decontaminate, language_model, near_vectors, ngram_join, quality, secrets, sharding, substrings, tokens, url_filter
-from vecstrata.llm.registry import ORACLE
+from vecstrata.llm.registry import ORACLE, QUERIES
 from vecstrata.llm.shared import components
 
 
@@ -109,14 +109,71 @@ def test_word_probabilities_are_proper():
     assert 0 < total <= 1 + 1e-6
 
 
-def test_burst_expert_matches_urn():
-    logs, tf = np.log2(np.array([0.1, 0.02])), np.array([3.0, 1.0])
-    got = language_model.expert_bits(logs, tf, np.array([0]), np.array([4.0]), 30.0)[0]
-    p, seen, want = [0.1, 0.02], [0, 0], 0.0
-    for t, w in enumerate([0, 1, 0, 0]):
-        want += math.log2((30 * p[w] + seen[w]) / (30 + t))
-        seen[w] += 1
-    assert got == pytest.approx(want, abs=1e-9)
+def test_urns_match_sequential_draws():
+    """Closed forms against one draw after the other."""
+    escape, trust, new = 0.2, language_model.ESCAPE_TRUST, language_model.NEW_WORD
+    flags, names = [1, 0, 1, 1, 0, 1], ["a", None, "b", "a", None, "a"]
+    want, seen, unknown = 0.0, {}, 0
+    for t, (f, name) in enumerate(zip(flags, names)):
+        want += math.log2((trust * escape + unknown if f else trust * (1 - escape) + t - unknown) / (trust + t))
+        if f:
+            want += math.log2((seen[name] if name in seen else new) / (new + unknown))
+            seen[name], unknown = seen.get(name, 0) + 1, unknown + 1
+    repeats = sum(math.log2(math.gamma(n)) for n in seen.values())
+    got = language_model.urns(np.array([2.0]), np.array([4.0]), np.array([2.0]), np.array([repeats]), escape)
+    assert got[0] == pytest.approx(want, abs=1e-9)
+    # words of one leaf, then one of another leaf
+    p, k, drawn, want = {"x": 0.25, "y": 0.5}, language_model.LEAF_TRUST, {}, 0.0
+    for t, name in enumerate(["x", "y", "x", "x"]):
+        want += math.log2((k * p[name] + drawn.get(name, 0)) / (k + t))
+        drawn[name] = drawn.get(name, 0) + 1
+    want += math.log2(0.125)
+    bits = -np.log2(np.array([0.25, 0.5, 0.125]))
+    got = language_model.shares(np.zeros(3, int), np.array([7, 7, 9]), bits, np.array([3.0, 1.0, 1.0]), np.ones(3, bool), 1)
+    assert got[0] == pytest.approx(want, abs=1e-9)
+
+
+def small_order(texts):
+    raw = "".join(texts).encode()
+    offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])]).astype(np.int64)
+    q = language_model.Sequence.of(tokens.words(np.frombuffer(raw, np.uint8), offsets, tokens.SPACED))
+    tables = [np.bincount(c << language_model.LEAF_BITS | q.leaf, minlength=language_model.CONTEXTS * language_model.LEAVES).reshape(language_model.CONTEXTS, -1) for c in (q.one, q.two)]
+    leaves = np.zeros((language_model.GATES, language_model.LEAVES))
+    leaves[0] = np.bincount(q.leaf, minlength=language_model.LEAVES)
+    return language_model.Order.of(leaves, [t.astype(np.uint32) for t in tables]), q
+
+
+def test_codes_are_proper_and_follow_order():
+    """All codes after a text have a total probability of one, and known successions cost less than others."""
+    texts = ["the cat sat on the mat and the dog lay on the rug " * 20, "a b c d e f g h " * 10]
+    order, q = small_order(texts)
+    one = language_model.Sequence(q.hash[:9], np.array([0, 9]), q.leaf[:9].copy(), q.one[:9], q.two[:9])
+    total = 0.0
+    for leaf in range(language_model.LEAVES):
+        one.leaf[8] = leaf
+        total += 2.0 ** -float(order.bits(one, np.zeros(1, int))[8])
+    assert total == pytest.approx(1.0, abs=1e-4)
+    words = texts[0].split()
+    _, straight = small_order([" ".join(words[:60])])
+    _, mixed = small_order([" ".join(random.Random(2).sample(words[:60], 60))])
+    assert order.bits(straight, np.zeros(1, int)).sum() < 0.7 * order.bits(mixed, np.zeros(1, int)).sum()
+
+
+def test_codes_do_not_depend_on_neighbours():
+    texts = ["x y z " * 300, "", "the cat sat on the mat", "a b " * 700]
+    order, every = small_order(texts)
+    gates = np.array([0, 0, 1, 2])
+    whole = order.bits(every, gates)
+    for i, t in enumerate(texts):
+        _, alone = small_order([t])
+        assert order.bits(alone, gates[i : i + 1]) == pytest.approx(whole[every.first[i] : every.first[i + 1]], abs=1e-5)
+
+
+def test_scores_do_not_depend_on_partitions(spark, sf):
+    """Equal rows get equal scores however the table is dealt, and a shuffled text another score."""
+    df = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    one, many = (dict(language_model.documents_query(d).select("doc_id", "score").collect()) for d in (df.coalesce(1), df.repartition(5)))
+    assert all(many[i] == pytest.approx(one[i], rel=1e-5) for i in one)
 
 
 def test_long_unknown_words_pay_for_every_byte(spark):
@@ -129,7 +186,7 @@ def test_long_unknown_words_pay_for_every_byte(spark):
     bits = {n: -s / math.log10(2) for n, s in got.items()}
     assert all(bits[n] > 3 * 3 * n and math.isfinite(bits[n]) for n in junk)
     assert bits[8000] > 3.5 * bits[2000] > 12 * bits[200]
-    assert bits[2000] < bits[1] < 1.1 * bits[2000]  # a burst expert knows the word again
+    assert bits[2000] < bits[1] < 1.1 * bits[2000]  # the urn knows the word again
 
 
 # 3. sharding
@@ -309,6 +366,16 @@ def test_bpe_matches_the_library(odd_docs, odd_rows, no_docs, library, real):
     assert rows(bpe.digests(no_docs, bpe.default_path())) == []
 
 
+def test_bpe_of_a_whole_table(spark, sf, library, real):
+    """The registered query against the library, every text of the table."""
+    got = rows(QUERIES["op6_bpe"](spark, sf))
+    want = []
+    for i, t in sorted(real.items()):
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        want.append((i, len(ids), brute.sha(np.array(ids, "<u4").tobytes()), brute.sha(library.decode(ids, skip_special_tokens=False).encode())))
+    assert got == want
+
+
 def test_bpe_stream_is_bounded_and_exact(monkeypatch, library, real):
     e = bpe.Encoder(bpe.read_vocabulary(bpe.default_path()))
     monkeypatch.setattr(bpe, "CHUNK", 37)
@@ -339,6 +406,8 @@ def test_url_filter(spark, sf):
     assert differences(url_filter.pages_query(df), con, ORACLE["op7_url_filter"]) == ""
     assert "stack" in url_filter.judge(df, url_filter.rule_table(spark)).columns
     assert rows(url_filter.pages_query(df.limit(0))) == []
+    mapped = df.where("url is not null").withColumn("m", F.create_map(F.lit("a"), F.lit(1))).union(df.withColumn("m", F.create_map(F.lit("a"), F.lit(1))))
+    assert url_filter.judge(mapped, url_filter.rule_table(spark)).count() == mapped.count()
     assert {r[4] for r in rows(url_filter.judge(df.select("page_id", "url"), url_filter.rule_table(spark).limit(0)).select("page_id", "url", "host", "path", "verdict"))} == {"allow"}
 
 

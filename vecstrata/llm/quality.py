@@ -234,18 +234,21 @@ def classify(docs: DataFrame, net: Network, to: str = "score") -> DataFrame:
     """Add the score to every row; other columns pass."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
-    schema = T.StructType([f for f in docs.schema if f.name != to] + [T.StructField(to, T.DoubleType())])
-    order = [f.name for f in schema]
+    rest = docs.drop(to)
+    # Python functions are bound by names, which may hold dots: plain ones on the way
+    plain = [f"c{i}" for i in range(len(rest.columns))]
+    text = plain[rest.columns.index("text")]
+    schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(plain, rest.schema, strict=True)] + [T.StructField("score", T.DoubleType())])
 
     def run(batches):
         n = shared.value
         for batch in batches:
-            for lo, hi, data, offsets in text_slices(batch.column("text")):
-                part, made = batch.slice(lo, hi - lo), pa.array(n.scores(data, offsets))
-                yield pa.RecordBatch.from_arrays([made if c == to else part.column(c) for c in order], names=order)
+            for lo, hi, data, offsets in text_slices(batch.column(text)):
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n.scores(data, offsets))], names=[*plain, "score"])
         release()
 
-    return docs.drop(to).mapInArrow(run, schema)
+    return rest.toDF(*plain).mapInArrow(run, schema).toDF(*rest.columns, to)
 
 
 def fold(modulus: int = 3):

@@ -6,12 +6,14 @@ bounds of all intervals cut the keys into segments, each with the stack of rules
 is open there.  One sorted sweep over bounds and URLs carries the stack forward to each URL; of
 the stack the rules whose path starts the URL's path fit, and the longest rule wins.
 
-The sweep is dealt out by a hash of the row, so a host that holds a third of all rows is spread
-over all tasks; the bounds, twice the rules' hosts, are repeated for every task.
+The sweep is dealt out by the number of the row, so a host that holds a third of all rows, or a row that
+is repeated, is spread over all tasks, whose count follows the input; the bounds, twice the rules' hosts,
+are repeated for every task.
 
 Nulls and oddities: a NULL URL, or one without ``://``, has an empty host and path and fits no
-rule, so it gets the default verdict.  Rules with the same host and path: the one that sorts last
-by verdict wins.  An empty rule table or page table gives defaults or no rows.
+rule, so it gets the default verdict; a very long URL is a row like others.  Repeated rows are judged each.
+Rules with the same host and path: the one that sorts last by verdict wins.  An empty rule table or page
+table gives defaults or no rows.  Other columns of any type pass; those named like the four made are replaced.
 """
 
 from __future__ import annotations
@@ -19,7 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import lower_ascii, shuffle_partitions
+from .shared import columns, lower_ascii, shuffle_partitions
+from .tokens import text_bytes
+
+#: Bytes of rows that one task sorts.
+TASK_BYTES = 64 << 20
 
 #: Fixed rules of the query: (verdict, host, path).
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -65,9 +71,9 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     spark = pages.sparkSession
     pages = pages.drop("host", "path", "rule", "verdict")  # replaced by the columns of these names
     host, path = url_parts(F.col(url))
-    tasks = shuffle_partitions(spark)
-    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row"), host.alias("host"), path.alias("path"))
-    rows = rows.select("row", "host", "path", host_key(F.col("host")).alias("key"), F.lit(1).alias("kind"), F.lit(None).cast(bounds(rules).schema["stack"].dataType).alias("stack"), F.pmod(F.xxhash64(F.col("row")), F.lit(tasks)).alias("task"))
+    tasks = max(shuffle_partitions(spark), text_bytes(pages, url) // TASK_BYTES)
+    rows = pages.select(F.struct(*columns(pages)).alias("row"), host.alias("host"), path.alias("path"))
+    rows = rows.select("row", "host", "path", host_key(F.col("host")).alias("key"), F.lit(1).alias("kind"), F.lit(None).cast(bounds(rules).schema["stack"].dataType).alias("stack"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(tasks)).alias("task"))
     ends = bounds(rules).select(
         F.lit(None).cast(rows.schema["row"].dataType).alias("row"), F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path"), "key", F.lit(0).alias("kind"), "stack",
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tasks - 1).cast("long"))).alias("task"),
