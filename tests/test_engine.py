@@ -156,6 +156,19 @@ def test_ties_go_by_id(spark):
     assert [r["nid"] for r in knn.top_k(df, 4).orderBy("rank").collect()] == [2, 4, 0, 1]
 
 
+def test_exact_far_from_the_origin(spark):
+    """Points that differ by little at a billion: rough distances cancel, exact ones decide."""
+    rng = np.random.default_rng(6)
+    x = 1e9 + rng.normal(size=(9000, 8)) * 100
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").coalesce(1)
+    q = df.where("vec_id % 1000 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+    want = []
+    for i in range(0, 9000, 1000):
+        dist = np.sqrt(((x - x[i]) ** 2).cumsum(axis=1)[:, -1])
+        want += [(i, int(j)) for j in np.lexsort((np.arange(9000), dist))[:5]]
+    assert sorted((r["qid"], r["nid"]) for r in knn.exact(df, q, 5).collect()) == sorted(want)
+
+
 def test_graph_errors(spark):
     nodes, edges = graph.simple_graph(spark)
     with pytest.raises(ValueError):

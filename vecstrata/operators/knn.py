@@ -54,11 +54,21 @@ def nearest_in_batch(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.nda
     return qids[row[keep]], ids[at[keep]], dist[keep]
 
 
+def best(qid: np.ndarray, nid: np.ndarray, dist: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k first rows of each query by (distance, id)."""
+    order = np.lexsort((nid, dist, qid))
+    qid, nid, dist = qid[order], nid[order], dist[order]
+    head = np.flatnonzero(np.concatenate([[True], qid[1:] != qid[:-1]])) if len(qid) else np.zeros(0, np.int64)
+    place = np.arange(len(qid)) - np.repeat(head, np.diff(np.append(head, len(qid))))
+    keep = place < k
+    return qid[keep], nid[keep], dist[keep]
+
+
 def exact(points: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", keep_self: bool = True) -> DataFrame:
     """``qid, nid, dist, rank``: the k nearest points by (distance, id) for each query.
 
     Points are scanned in place; a block of at most ``QUERY_BLOCK`` queries goes to every task.
-    Each batch keeps k rows for a query, so the ranking shuffles k rows for a query and batch.
+    A task sends k rows for a query to the ranking, whatever the number of its points.
     Rows without a finite vector are no neighbours and no queries.
     """
     spark = points.sparkSession
@@ -74,13 +84,20 @@ def exact(points: DataFrame, queries: DataFrame, k: int, vector: str = "embeddin
 
         def run(batches, block=block):
             qids, qv = block.value
+            held, rows = [], 0
             for batch in batches:
                 for lo in range(0, len(batch), 4096):
                     part = batch.slice(lo, 4096)
                     x = matrix(part.column("pv"))
                     for at in range(0, len(qids), 512):
-                        made = nearest_in_batch(part.column("nid").to_numpy(), x, qids[at : at + 512], qv[at : at + 512], k, keep_self)
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in made], names=["qid", "nid", "dist"])
+                        held.append(nearest_in_batch(part.column("nid").to_numpy(), x, qids[at : at + 512], qv[at : at + 512], k, keep_self))
+                        rows += len(held[-1][0])
+                    if rows > 4 * k * len(qids):
+                        held = [best(*(np.concatenate(c) for c in zip(*held, strict=True)), k)]
+                        rows = len(held[0][0])
+            if held:
+                made = best(*(np.concatenate(c) for c in zip(*held, strict=True)), k)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in made], names=["qid", "nid", "dist"])
 
         pairs = p.mapInArrow(run, "qid long, nid long, dist double")
         out = pairs if out is None else out.unionByName(pairs)
