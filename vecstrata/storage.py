@@ -10,16 +10,22 @@ from pyspark.sql import functions as F
 from .session import shared_folder
 
 
-def cut(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+#: With this, executors delete the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: a cut of the lineage that any executor can read.
 
-    With ``free`` the driver collects its garbage, so that executors delete shuffle files that only the
-    writing has read; for cuts behind large shuffles."""
+    The shuffle files behind it are deleted as soon as it is written, since only the writing reads them."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/vecstrata/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if free:
-        spark._jvm.System.gc()
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
