@@ -538,9 +538,16 @@ def test_branches_and_paths(spark):
     """Two documents leave a shared passage by different shared ways: the path ends where they part."""
     way = lambda name, n: [f"{name}{i}" for i in range(n)]
     docs = [(1, way("a", 80) + way("b", 60)), (2, way("a", 80) + way("c", 60)), (3, way("a", 80) + way("b", 60)), (4, way("a", 80) + way("c", 60)), (5, way("x", 9) + way("a", 80))]
-    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string").repartition(5)
-    got = [(r["doc_id"], r["start"], r["size"], r["src"], r["src_start"]) for r in substrings.repeated_paths(df).collect()]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    got = [(r["doc_id"], r["start"], r["size"], r["src"], r["src_start"]) for r in substrings.repeated_paths(df.coalesce(1)).collect()]
     assert sorted(got) == [(2, 0, 31, 1, 0), (3, 0, 31, 1, 0), (3, 31, 60, 1, 31), (4, 0, 31, 1, 0), (4, 31, 60, 2, 31), (5, 9, 31, 1, 0)]
+    # however the documents are dealt: the same windows, from smaller documents, with the words of their source
+    held = dict(docs)
+    for parts in (2, 5):
+        found = [(r["doc_id"], r["start"], r["size"], r["src"], r["src_start"]) for r in substrings.repeated_paths(df.repartition(parts)).collect()]
+        assert all(s < d and held[d][a : a + n + 49] == held[s][b : b + n + 49] for d, a, n, s, b in found)
+        windows = lambda ps: sorted((d, a + i) for d, a, n, _, _ in ps for i in range(n))
+        assert windows(found) == windows(got)
 
 
 def test_paths_that_differ_from_their_source_are_refused(spark):

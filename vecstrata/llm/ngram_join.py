@@ -355,7 +355,7 @@ def linked(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     sizes = cut(counted.withColumn("blocks", F.ceil(F.col("c") / BLOCK)), "sizes")
     total, most = sizes.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.max("blocks"), F.lit(0))).first()
     tasks = max(4 * shuffle_partitions(sets.sparkSession), total // TASK_ROWS)
-    first = cut(in_blocks(sets, groups.join(sizes.select("label", "blocks"), "label"), tasks, percent), "in_blocks", free=True)
+    first = cut(in_blocks(sets, groups.join(sizes.select("label", "blocks"), "label"), tasks, percent), "in_blocks")
     labels = components(first.where("a is not null").select("a", "b"))
     if most <= 1:
         return labels
@@ -368,10 +368,10 @@ def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, orders: int
     """``doc_id, n_shingles, component_id`` for every row with a doc_id."""
     small_batches(docs.sparkSession)
     buckets, entries = spread(text_bytes(docs))
-    both = cut(classes(answered(mapped(docs, k, buckets, entries), buckets), percent, orders), "classes", free=True)
+    both = cut(classes(answered(mapped(docs, k, buckets, entries), buckets), percent, orders), "classes")
     rows = both.where("doc_id is not null").select("doc_id", "n", F.when(F.col("n") > 0, F.col("sig")).alias("sig"))
     candidates = both.where("doc_id is null")
-    groups = cut(prefix_groups(candidates.select("sig", "prefixes"), orders), "groups", free=True)
+    groups = cut(prefix_groups(candidates.select("sig", "prefixes"), orders), "groups")
     labels = linked(candidates.select("sig", "n", "tokens"), groups, percent)
     keyed = rows.join(labels.withColumnRenamed("id", "sig"), "sig", "left").select("doc_id", "n", F.coalesce("label", "sig").alias("key"))
     keyed = cut(keyed, "keyed")

@@ -11,8 +11,10 @@ is the place where it starts in the smallest document; it is repeated where anot
 * Graph: successors are taken from consecutive edges of documents.  A node is branching where more than
   one repeated edge follows, or more than one precedes.  Repeated edges between nodes that do not branch
   are compacted, in a part or bucket first, to pieces: a run of edges here and the run at their source.
+  A part or bucket knows the successors that its own documents show: a node that branches only by what
+  another part holds ends no piece there, which changes the paths and not the words that they cover.
 * Join: pieces that follow each other in a document are joined by coordinates, the degrees of the nodes
-  between them are counted over all documents, and pieces are compacted to paths where the node does not
+  between them are counted over all pieces, and pieces are compacted to paths where the node does not
   branch and the sources follow each other too.
 * Verification: a digest of the words of every path is compared with the digest of the words at its
   source coordinates.  Documents meet their paths by one join that also takes the words out; the documents
@@ -193,7 +195,7 @@ def paths(pieces: DataFrame) -> DataFrame:
 def repeated_paths(docs: DataFrame, k: int = WINDOW, seed: int = SEED) -> DataFrame:
     """``PIECES``: all paths of repeated edges, with the coordinates of their source."""
     small_batches(docs.sparkSession)
-    return cut(paths(cut(local_pieces(docs, k, seed), "pieces", free=True)), "paths")
+    return cut(paths(cut(local_pieces(docs, k, seed), "pieces")), "paths")
 
 
 MADE = "doc_id long, key long, n_words long, n_removed long, kept string, sums array<struct<start:int,size:int,mine:boolean,sum:binary>>"
@@ -249,7 +251,7 @@ def unequal(made: DataFrame, found: DataFrame) -> DataFrame:
 def remove(docs: DataFrame, found: DataFrame, k: int = WINDOW, emit: str = "digest") -> DataFrame:
     """Take the words of verified paths out.  ``emit`` is ``digest`` or ``text`` (kept words joined by one space)."""
     small_batches(docs.sparkSession)
-    made = cut(taken_out(docs, found, k, emit), "made", free=True)
+    made = cut(taken_out(docs, found, k, emit), "made")
     last = "kept_sha256" if emit == "digest" else "kept"
     result = lambda df: df.select("doc_id", "n_words", "n_removed", F.col("kept").alias(last))
     wrong = cut(unequal(made, found), "unequal")
