@@ -390,9 +390,12 @@ def test_bpe_stream_is_bounded_and_exact(monkeypatch, library, real):
 
 
 def test_bpe_round_trip_frames(spark):
-    df = spark.createDataFrame([(1, "Hello wörld"), (2, None)], "ids long, text string").withColumnRenamed("ids", "k")
-    both = bpe.decode(bpe.encode(df, bpe.default_path()), bpe.default_path(), to="back")
-    assert rows(both.select("k", "back")) == [(1, "Hello wörld"), (2, "")]
+    df = spark.createDataFrame([(1, "Hello wörld", 2), (2, None, 3)], "k long, text string, `a.b` int")
+    coded = bpe.encode(df, bpe.default_path())
+    assert coded.columns == ["k", "text", "a.b", "ids"]
+    both = bpe.decode(coded, bpe.default_path(), to="back")
+    assert [(r["k"], r["a.b"], r["back"]) for r in both.orderBy("k").collect()] == [(1, 2, "Hello wörld"), (2, 3, "")]
+    assert bpe.decode(coded, bpe.default_path(), to="text").columns == ["k", "a.b", "ids", "text"]
 
 
 # 7. URL filter

@@ -14,7 +14,9 @@ Decoding joins token bytes and turns them into text with an incremental UTF-8 ma
 back at most three bytes of an unfinished character.
 
 NULL and empty texts have no tokens and decode to an empty text.  Added tokens in a text
-(``<|endoftext|>``) are one id, as the file lists them.
+(``<|endoftext|>``) are one id, as the file lists them.  A very long text is streamed, repeated rows get a
+row each, an empty table gives no rows.  ``digests`` reads ``doc_id`` and ``text`` alone; ``encode`` and
+``decode`` pass other columns and replace one of the name they write to.
 """
 
 from __future__ import annotations
@@ -28,7 +30,9 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
+from .shared import with_made
 from .tokens import release, small_batches
 
 #: Fixed pattern of the public byte-level pre-tokenizer.
@@ -267,40 +271,36 @@ def read_vocabulary(path: str) -> str:
 def encode(df: DataFrame, path: str, column: str = "text", to: str = "ids") -> DataFrame:
     """Add ``to``, the token ids (array<int>), to every row; NULL text has no ids."""
     source = df.sparkSession.sparkContext.broadcast(read_vocabulary(path))  # one file of fixed size
-    schema = df.drop(to).withColumn(to, df[column]).schema
-    from pyspark.sql import types as T
 
-    schema = T.StructType([f if f.name != to else T.StructField(to, T.ArrayType(T.IntegerType())) for f in schema])
-    order = [f.name for f in schema]
-
-    def run(batches):
+    def start():
         e = encoder_of(source.value)
-        for batch in batches:
-            for lo in range(0, len(batch), 256):
-                part = batch.slice(lo, 256)
-                ids = [e.encode(t or "").astype(np.int32) for t in part.column(column).to_pylist()]
+
+        def work(column):
+            for lo in range(0, len(column), 256):
+                ids = [e.encode(t or "").astype(np.int32) for t in column.slice(lo, 256).to_pylist()]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                made = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else [], pa.int32()))
-                yield pa.RecordBatch.from_arrays([made if c == to else part.column(c) for c in order], names=order)
+                yield lo, lo + len(ids), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids), pa.int32()))
 
-    return df.drop(to).mapInArrow(run, schema)
+        return work
 
+    return with_made(df, column, to, T.ArrayType(T.IntegerType()), start)
 
-def decode(df: DataFrame, path: str, column: str = "ids", to: str = "text") -> DataFrame:
-    """Add ``to``, the text of the ids, to every row."""
-    from pyspark.sql import types as T
 
+def decode(df: DataFrame, path: str, column: str = "ids", to: str = "text") -> DataFrame:
+    """Add ``to``, the text of the ids; NULL ids give an empty text."""
     source = df.sparkSession.sparkContext.broadcast(read_vocabulary(path))
-    schema = T.StructType([f for f in df.schema if f.name != to] + [T.StructField(to, T.StringType())])
-    order = [f.name for f in schema]
 
-    def run(batches):
+    def start():
         e = encoder_of(source.value)
-        for batch in batches:
-            made = pa.array([e.decode(ids or ()) for ids in batch.column(column).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([made if c == to else batch.column(c) for c in order], names=order)
 
-    return df.drop(to).mapInArrow(run, schema)
+        def work(values):
+            for lo in range(0, len(values), 256):
+                out = [e.decode(x or ()) for x in values.slice(lo, 256).to_pylist()]
+                yield lo, lo + len(out), pa.array(out, pa.string())
+
+        return work
+
+    return with_made(df, column, to, T.StringType(), start)
 
 
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"

@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tokens import release, small_batches, text_slices
+from .shared import with_made
+from .tokens import small_batches, text_slices
 
 WIDTH, FILTERS, HOP, LAGS = 4, 8, 64, 24
 SAMPLE, SAMPLE_BYTES = 3000, 20_000
@@ -234,21 +235,12 @@ def classify(docs: DataFrame, net: Network, to: str = "score") -> DataFrame:
     """Add the score to every row; other columns pass."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
-    rest = docs.drop(to)
-    # Python functions are bound by names, which may hold dots: plain ones on the way
-    plain = [f"c{i}" for i in range(len(rest.columns))]
-    text = plain[rest.columns.index("text")]
-    schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(plain, rest.schema, strict=True)] + [T.StructField("score", T.DoubleType())])
-
-    def run(batches):
-        n = shared.value
-        for batch in batches:
-            for lo, hi, data, offsets in text_slices(batch.column(text)):
-                part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n.scores(data, offsets))], names=[*plain, "score"])
-        release()
-
-    return rest.toDF(*plain).mapInArrow(run, schema).toDF(*rest.columns, to)
+
+    def start():
+        net = shared.value
+        return lambda column: ((lo, hi, pa.array(net.scores(data, offsets))) for lo, hi, data, offsets in text_slices(column))
+
+    return with_made(docs, "text", to, T.DoubleType(), start)
 
 
 def fold(modulus: int = 3):

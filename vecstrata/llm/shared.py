@@ -6,10 +6,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..storage import columns, cut, drop_cut, quoted, unused
+from .tokens import release
 
-__all__ = ["Forest", "columns", "components", "cut", "drop_cut", "lower_ascii", "paired_blocks", "quoted", "shuffle_partitions", "spanning", "table", "unused"]
+__all__ = ["Forest", "columns", "components", "cut", "drop_cut", "lower_ascii", "paired_blocks", "quoted", "shuffle_partitions", "spanning", "table", "unused", "with_made"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -102,6 +104,26 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def with_made(df: DataFrame, column: str, to: str, kind: T.DataType, start) -> DataFrame:
+    """Add ``to``, made of ``column`` by Python; a column of that name is replaced, others pass.
+
+    ``start()`` gives a task its function from an Arrow column to (first row, end row, values) of its slices.
+    Python functions are bound by names, which may hold dots, so columns have plain ones on the way."""
+    rest = [c for c in df.columns if c != to]
+    plain = [f"c{i}" for i in range(len(rest))]
+    held = df.select(*[quoted(c).alias(n) for c, n in zip(rest, plain, strict=True)], quoted(column).alias("source"))
+    schema = T.StructType([*[f for f in held.schema if f.name != "source"], T.StructField("made", kind)])
+
+    def run(batches):
+        work = start()
+        for batch in batches:
+            for lo, hi, made in work(batch.column("source")):
+                yield pa.RecordBatch.from_arrays([*[batch.column(n).slice(lo, hi - lo) for n in plain], made], names=[*plain, "made"])
+        release()
+
+    return held.mapInArrow(run, schema).toDF(*rest, to)
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
