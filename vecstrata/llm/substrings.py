@@ -33,6 +33,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,11 +41,13 @@ from .shared import cut
 from .tokens import SPACED, U, binaries, heads_of, minimum_of, mix, release, small_batches, spread, text_bytes, text_slices, words
 
 WINDOW, SEED = 50, 16
-RUN = np.dtype([("doc", "<i8"), ("key", "<i8"), ("at", "<i4"), ("size", "<i4")])
+RUN = np.dtype([("doc", "<i8"), ("key", "<i8"), ("part", "<i8"), ("at", "<i4"), ("size", "<i4")])
 #: Edges ``at ..`` of a document, and the place of the first at their source.
-PIECE = np.dtype([("doc", "<i8"), ("key", "<i8"), ("at", "<i4"), ("size", "<i4"), ("src", "<i8"), ("src_key", "<i8"), ("src_at", "<i4")])
+PIECE = np.dtype([("doc", "<i8"), ("key", "<i8"), ("at", "<i4"), ("size", "<i4"), ("src", "<i8"), ("src_key", "<i8"), ("src_at", "<i4"), ("part", "<i8")])
 MAPPED = "bucket int, runs binary, edges binary, pieces binary"
 PIECES = "doc_id long, key long, start int, size int, src long, src_key long, src_start int"
+#: Pieces know the part that their document came from, so that repeated rows in several parts are not mixed up.
+LOCAL = PIECES + ", part long"
 
 
 def sources(edge: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +80,7 @@ def branching(group: np.ndarray, follows: np.ndarray, repeated: np.ndarray) -> n
     return out
 
 
-def pieces_of(doc: np.ndarray, key: np.ndarray, at: np.ndarray, edge: np.ndarray, follows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def pieces_of(doc: np.ndarray, key: np.ndarray, part: np.ndarray, at: np.ndarray, edge: np.ndarray, follows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which rows lie in the smallest document of their edge, and the pieces of all others."""
     group, source = sources(edge, doc)
     lowest = doc[source] == doc if len(doc) else np.zeros(0, bool)
@@ -92,18 +95,18 @@ def pieces_of(doc: np.ndarray, key: np.ndarray, at: np.ndarray, edge: np.ndarray
         on &= (doc[s][1:] == doc[s][:-1]) & (key[s][1:] == key[s][:-1]) & (at[s][1:] == at[s][:-1] + 1)
         head = np.flatnonzero(np.concatenate([[True], ~on]))
         out = np.empty(len(head), PIECE)
-        for name, values in (("doc", doc[rows]), ("key", key[rows]), ("at", at[rows]), ("src", doc[s]), ("src_key", key[s]), ("src_at", at[s])):
+        for name, values in (("doc", doc[rows]), ("key", key[rows]), ("part", part[rows]), ("at", at[rows]), ("src", doc[s]), ("src_key", key[s]), ("src_at", at[s])):
             out[name] = values[head]
         out["size"] = np.diff(np.append(head, len(rows)))
     return lowest, out
 
 
 def mapped(docs: DataFrame, k: int, seed: int, buckets: int, entries: int) -> DataFrame:
-    def part(held: list[tuple]) -> pa.RecordBatch:
+    def part(number: int, held: list[tuple]) -> pa.RecordBatch:
         doc, key, at, edge, low = (np.concatenate(x) for x in zip(*held, strict=True))
         follows = np.zeros(len(doc), bool)
         follows[:-1] = (doc[1:] == doc[:-1]) & (key[1:] == key[:-1]) & (at[1:] == at[:-1] + 1)
-        lowest, pieces = pieces_of(doc, key, at, edge, follows)
+        lowest, pieces = pieces_of(doc, key, np.full(len(doc), number), at, edge, follows)
         home = (mix(pieces["doc"].astype(U), 5) % U(buckets)).astype(np.int64)
         pieces, home = pieces[np.argsort(home, kind="stable")], np.sort(home)
         piece_head = heads_of(home)
@@ -113,6 +116,7 @@ def mapped(docs: DataFrame, k: int, seed: int, buckets: int, entries: int) -> Da
         new[1:] = (rows[1:] != rows[:-1] + 1) | ~follows[rows[:-1]] | (low[rows][1:] != low[rows][:-1])
         start = np.flatnonzero(new)
         r = np.empty(len(start), RUN)
+        r["part"] = number
         r["doc"], r["key"], r["at"], r["size"] = doc[rows][start], key[rows][start], at[rows][start], np.diff(np.append(start, len(rows)))
         to = (mix(low[rows][start], 6) % U(buckets)).astype(np.int64)
         order = np.argsort(to, kind="stable")
@@ -128,7 +132,7 @@ def mapped(docs: DataFrame, k: int, seed: int, buckets: int, entries: int) -> Da
         return pa.RecordBatch.from_arrays([pa.concat_arrays([a, b]) for a, b in zip(sent, sure, strict=True)], names=["bucket", "runs", "edges", "pieces"])
 
     def run(batches):
-        held, n = [], 0
+        held, n, number = [], 0, TaskContext.get().partitionId() << 24
         for batch in batches:
             ids = np.asarray(batch.column("doc_id").cast(pa.int64()).to_numpy(zero_copy_only=False))
             keys = np.asarray(batch.column("key").to_numpy(zero_copy_only=False))
@@ -145,11 +149,11 @@ def mapped(docs: DataFrame, k: int, seed: int, buckets: int, entries: int) -> Da
                 held.append((ids[lo + doc], keys[lo + doc], (at - w.first[doc]).astype(np.int32), edge, low))
                 n += len(at)
                 if n >= entries:
-                    yield part(held)
-                    held, n = [], 0
+                    yield part(number, held)
+                    held, n, number = [], 0, number + 1
                     release()
         if held:
-            yield part(held)
+            yield part(number, held)
         held = []
         release()
 
@@ -157,9 +161,9 @@ def mapped(docs: DataFrame, k: int, seed: int, buckets: int, entries: int) -> Da
 
 
 def local_pieces(docs: DataFrame, k: int, seed: int) -> DataFrame:
-    """``PIECES`` of all repeated edges whose document is not the smallest that has them, compacted inside parts and buckets."""
+    """``LOCAL`` pieces of all repeated edges whose document is not the smallest that has them, compacted inside parts and buckets."""
     buckets, entries = spread(text_bytes(docs))
-    names = [x.split()[0] for x in PIECES.split(", ")]
+    names = [x.split()[0] for x in LOCAL.split(", ")]
 
     def bucket(table: pa.Table) -> pa.Table:
         joined = lambda c: b"".join(x for x in table.column(c).to_pylist() if x is not None)
@@ -169,27 +173,27 @@ def local_pieces(docs: DataFrame, k: int, seed: int) -> DataFrame:
         at = np.repeat(r["at"], size) + (np.arange(len(edge)) - np.repeat(end - size, size)).astype(np.int32)
         follows = np.ones(len(edge), bool)
         follows[end - 1] = False
-        _, found = pieces_of(np.repeat(r["doc"], size), np.repeat(r["key"], size), at, edge, follows)
+        _, found = pieces_of(*(np.repeat(r[c], size) for c in ("doc", "key", "part")), at, edge, follows)
         found = np.concatenate([found, sure])
         return pa.table([pa.array(np.ascontiguousarray(found[c])) for c in PIECE.names], names=names)
 
-    return mapped(docs, k, seed, buckets, entries).groupBy("bucket").applyInArrow(bucket, PIECES).distinct()
+    return mapped(docs, k, seed, buckets, entries).groupBy("bucket").applyInArrow(bucket, LOCAL).distinct()
 
 
 def paths(pieces: DataFrame) -> DataFrame:
     """Pieces compacted over all documents, by joins: ``PIECES`` again, with longer runs."""
-    a = pieces.select("doc_id", "key", (F.col("start") + F.col("size")).alias("start"), F.col("src").alias("s1"), F.col("src_key").alias("k1"), (F.col("src_start") + F.col("size")).alias("e1"))
-    b = pieces.select("doc_id", "key", "start", F.col("src").alias("s2"), F.col("src_key").alias("k2"), F.col("src_start").alias("b2"))
-    met = cut(a.join(b, ["doc_id", "key", "start"]), "met")
+    a = pieces.select("doc_id", "key", "part", (F.col("start") + F.col("size")).alias("start"), F.col("src").alias("s1"), F.col("src_key").alias("k1"), (F.col("src_start") + F.col("size")).alias("e1"))
+    b = pieces.select("doc_id", "key", "part", "start", F.col("src").alias("s2"), F.col("src_key").alias("k2"), F.col("src_start").alias("b2"))
+    met = cut(a.join(b, ["doc_id", "key", "part", "start"]), "met")
     steps = met.select("s1", "k1", "e1", "s2", "k2", "b2").distinct()
     out = steps.groupBy("s1", "k1", "e1").agg(F.count("*").alias("n_out"))
     into = steps.groupBy("s2", "k2", "b2").agg(F.count("*").alias("n_in"))
     plain = steps.where("s1 = s2 and k1 = k2 and e1 = b2").join(out.where("n_out = 1"), ["s1", "k1", "e1"], "left_semi").join(into.where("n_in = 1"), ["s2", "k2", "b2"], "left_semi")
-    joined = met.join(plain, ["s1", "k1", "e1", "s2", "k2", "b2"], "left_semi").select("doc_id", "key", "start", F.lit(0).alias("new"))
-    order = Window.partitionBy("doc_id", "key").orderBy("start")
-    marked = pieces.join(joined, ["doc_id", "key", "start"], "left").withColumn("path", F.sum(F.coalesce("new", F.lit(1))).over(order))
+    joined = met.join(plain, ["s1", "k1", "e1", "s2", "k2", "b2"], "left_semi").select("doc_id", "key", "part", "start", F.lit(0).alias("new"))
+    order = Window.partitionBy("doc_id", "key", "part").orderBy("start")
+    marked = pieces.join(joined, ["doc_id", "key", "part", "start"], "left").withColumn("path", F.sum(F.coalesce("new", F.lit(1))).over(order))
     first = F.min(F.struct("start", "src", "src_key", "src_start")).alias("f")
-    return marked.groupBy("doc_id", "key", "path").agg(first, F.sum("size").cast("int").alias("size")).select("doc_id", "key", "f.start", "size", "f.src", "f.src_key", "f.src_start")
+    return marked.groupBy("doc_id", "key", "part", "path").agg(first, F.sum("size").cast("int").alias("size")).select("doc_id", "key", "f.start", "size", "f.src", "f.src_key", "f.src_start").distinct()
 
 
 def repeated_paths(docs: DataFrame, k: int = WINDOW, seed: int = SEED) -> DataFrame:
