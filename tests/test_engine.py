@@ -2,15 +2,17 @@
 
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from oracle import differences
 from vecstrata.cli import parser
 from vecstrata.functions import dequantize, l2, quantize
 from vecstrata.operators import build, evaluate, graph, knn, points, search
 from vecstrata.params import IndexParams
-from vecstrata.plans import choose
+from vecstrata.plans import choose, queries
 from vecstrata.sources import store, text, truth
 from vecstrata.streaming import ingest
 
@@ -96,6 +98,16 @@ def test_invariants(index):
         assert seen == nodes
 
 
+def test_one_entry_point_for_all_shards(spark, vectors, tmp_path, monkeypatch):
+    """Three copies of the table in shards of 500 rows, against SQL."""
+    vectors.crossJoin(spark.range(3)).select((F.col("vec_id") + 500 * F.col("id")).alias("vec_id"), "embedding").write.parquet(str(tmp_path / "embeddings.parquet"))
+    monkeypatch.setattr(queries, "PARAMS", IndexParams(m=12, shard_rows=500))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    assert queries.index(spark, str(tmp_path)).shards == 3
+    assert differences(queries.entry_point(spark, str(tmp_path)), con, queries.ORACLE["entry_point"]) == ""
+
+
 def test_partitioning_does_not_matter(vectors, index):
     for n in (1, 4):
         assert rows(build.build(vectors.repartition(n), PARAMS).edges) == rows(index.edges)

@@ -186,3 +186,8 @@ def entry_point(points: DataFrame) -> DataFrame:
     """The first node of the top layer in insertion order, for each shard."""
     order = F.struct(-F.col("level"), F.col("batch"), F.col("vec_id"))
     return points.groupBy("shard").agg(F.min_by("vec_id", order).alias("ep"), F.max("level").alias("top"))
+
+
+def first_point(points: DataFrame) -> DataFrame:
+    """The first node of the top layer in insertion order, of all shards: one row, none of an empty table."""
+    return points.orderBy(F.desc("level"), "batch", "vec_id").limit(1).select(F.col("vec_id").alias("ep"), F.col("level").alias("top"))
