@@ -149,6 +149,31 @@ def test_small_ef_is_refused(vectors, index):
         search.ann(index, vectors.select(F.col("vec_id").alias("qid"), "embedding"), 10, 5)
 
 
+def test_a_beam_as_wide_as_the_layer():
+    """Nodes in two parts, ties and repeated queries: the same rows as the beam, which is not run."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 3, (60, 4)).astype(float)
+    ids, q = rng.permutation(1000)[:60], np.concatenate([x[:5], x[:5]])
+    links = [[y for y in (i - 1, i + 1) if 0 <= y < 60 and (y < 40) == (i < 40)] for i in range(60)]
+    entry = lambda v: [(0.0, int(ids[0]), 0)] if v.sum() < 4 else [(0.0, int(ids[50]), 50)]
+    qids, want = np.arange(10) // 2, []
+    for i, v in zip(qids, q, strict=True):
+        start = entry(v)[0][2]
+        full = search.beam(x, links, v, [(float(np.sqrt(((x[start] - v) ** 2).sum())), int(ids[start]), start)], ids, 60)
+        want += [(i, n, d) for d, n, _ in full[:7]]
+    assert {entry(v)[0][2] for v in q} == {0, 50}
+    assert sorted(search.walked(x, ids, links, qids, q, entry, 7).itertuples(index=False, name=None)) == sorted(want)
+
+
+def test_a_wide_beam_is_walked_once(vectors, monkeypatch):
+    p = build.make_points(vectors, PARAMS).toPandas().assign(batch=0)
+    near = [[i - 1, i + 1] for i in range(len(p))]
+    p["adjacency"] = [[{"layer": 0, "near": [int(p["vec_id"][y]) for y in n if 0 <= y < len(p)]}] for n in near]
+    q = p[["vec_id", "embedding"]].rename(columns={"vec_id": "qid"}).head(20)
+    monkeypatch.setattr(search, "beam", None)
+    assert len(search.search_shard(p, q, 10, len(p))) == 200
+
+
 def test_choice_of_plan(vectors, index):
     q = vectors.where("vec_id = 3").select(F.col("vec_id").alias("qid"), "embedding")
     assert rows(choose.nearest(index, q, 5, exact=True)) == rows(knn.exact(index.points, q, 5))

@@ -44,11 +44,12 @@ def quantize(v: Column) -> Column:
     constant vector has delta 0 and codes 0, which decode to the constant.
     """
     lo, hi = F.array_min(v).cast("double"), F.array_max(v).cast("double")
-    delta = (hi - lo) / F.lit(float(CODE_MAX))
-    code = lambda x: F.when(delta == 0, F.lit(0)).otherwise(
-        F.least(F.lit(CODE_MAX), F.floor((x.cast("double") - lo) / F.nullif(delta, F.lit(0.0)) + F.lit(0.5)).cast("int"))
+    scale = F.struct(lo.alias("q_min"), ((hi - lo) / F.lit(float(CODE_MAX))).alias("q_delta"))
+    code = lambda s: lambda x: F.when(s["q_delta"] == 0, F.lit(0)).otherwise(
+        F.least(F.lit(CODE_MAX), F.floor((x.cast("double") - s["q_min"]) / F.nullif(s["q_delta"], F.lit(0.0)) + F.lit(0.5)).cast("int"))
     )
-    return F.struct(lo.alias("q_min"), delta.alias("q_delta"), F.transform(v, code).alias("q_codes"))
+    # the scale is bound to a variable: written into the inner function it would be found again for every component
+    return F.transform(F.array(scale), lambda s: F.struct(s["q_min"].alias("q_min"), s["q_delta"].alias("q_delta"), F.transform(v, code(s)).alias("q_codes")))[0]
 
 
 def dequantize(q_min: Column, q_delta: Column, q_codes: Column) -> Column:

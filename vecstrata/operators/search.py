@@ -49,12 +49,19 @@ def search_shard(nodes: pd.DataFrame, queries: pd.DataFrame, k: int, ef: int) ->
     for at, lists in enumerate(nodes["adjacency"]):
         for entry in lists if lists is not None else ():
             layers[entry["layer"]][at] = [place[int(x)] for x in entry["near"]]
-    out = []
-    for qid, q in zip(queries["qid"], queries["embedding"], strict=True):
-        q = quantized(np.asarray(q, dtype=np.float64))
+    def entry(q):
         found = [(float(np.sqrt(((vectors[0] - q) ** 2).sum())), int(ids[0]), 0)]
         for layer in range(top, 0, -1):
             found = beam(vectors, layers[layer], q, found, ids, 1)[:1]
+        return found
+
+    if ef >= len(nodes):
+        asked = np.array([quantized(np.asarray(q, dtype=np.float64)) for q in queries["embedding"]])
+        return walked(vectors, ids, layers[0], queries["qid"].to_numpy(), asked, entry, k)
+    out = []
+    for qid, q in zip(queries["qid"], queries["embedding"], strict=True):
+        q = quantized(np.asarray(q, dtype=np.float64))
+        found = entry(q)
         best = [p for _, _, p in beam(vectors, layers[0], q, found, ids, ef)]
         dist = ordered_distance(np.broadcast_to(q, (len(best), len(q))), vectors[best])
         order = np.lexsort((ids[best], dist))[:k]
@@ -62,6 +69,38 @@ def search_shard(nodes: pd.DataFrame, queries: pd.DataFrame, k: int, ef: int) ->
     return pd.concat(out) if out else pd.DataFrame({"qid": pd.Series(dtype="int64"), "nid": pd.Series(dtype="int64"), "dist": pd.Series(dtype="float64")})
 
 
+def parts_of(links: list) -> np.ndarray:
+    """For each node the number of its connected part of a layer."""
+    part, number = np.full(len(links), -1), -1
+    for first in range(len(links)):
+        if part[first] < 0:
+            number += 1
+            part[first], todo = number, [first]
+            while todo:
+                fresh = [x for x in links[todo.pop()] if part[x] < 0]
+                part[fresh] = number
+                todo += fresh
+    return part
+
+
+def walked(vectors: np.ndarray, ids: np.ndarray, links: list, qids: np.ndarray, q: np.ndarray, entry, k: int) -> pd.DataFrame:
+    """What a beam as wide as the layer returns.  It neither ends early nor drops a node, so it keeps the connected
+    part of its entry: parts are walked once for all queries, and the nodes of a query's part are ranked in blocks."""
+    part, place = parts_of(links), np.arange(len(q))
+    own = np.zeros(len(q), int) if part.max() == 0 else np.array([part[entry(v)[0][2]] for v in q])
+    held = [(place[:0], ids[:0], np.zeros(0))]
+    for number in np.unique(own):
+        nodes, asked = np.flatnonzero(part == number), np.flatnonzero(own == number)
+        for lo in range(0, len(asked), 512):
+            some, found = asked[lo : lo + 512], []
+            for at in range(0, len(nodes), 4096):
+                near = nodes[at : at + 4096]
+                found.append(knn.nearest_in_batch(ids[near], vectors[near], some, q[some], k, keep_self=True))
+            held.append(knn.best(*(np.concatenate(c) for c in zip(*found, strict=True)), k))
+    row, nid, dist = (np.concatenate(c) for c in zip(*held, strict=True))
+    return pd.DataFrame({"qid": qids[row], "nid": nid, "dist": dist})
+
+
 def quantized(v: np.ndarray) -> np.ndarray:
     lo, hi = v.min(), v.max()
     if hi == lo:
