@@ -6,6 +6,8 @@ built-in higher-order functions, so plans stay on the JVM side.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,12 @@ def as_double(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double"))
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a variable that holds ``value``, which is evaluated once for a row: written into an inner function it
+    would be evaluated again for every component, also where a filter is moved before the columns it reads."""
+    return F.transform(F.array(value), f)[0]
+
+
 def dim(v: Column) -> Column:
     """Number of components; NULL for a NULL vector."""
     return F.size(v).cast("long")
@@ -33,8 +41,8 @@ def dot(a: Column, b: Column) -> Column:
 
 def is_finite(v: Column) -> Column:
     """True when the vector is not NULL, not empty and every component is a finite number."""
-    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
-    return v.isNotNull() & (F.size(v) > 0) & ~F.coalesce(bad, F.lit(True))
+    bad = lambda u: F.exists(u, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+    return bound(v, lambda u: u.isNotNull() & (F.size(u) > 0) & ~F.coalesce(bad(u), F.lit(True)))
 
 
 def quantize(v: Column) -> Column:
@@ -48,12 +56,12 @@ def quantize(v: Column) -> Column:
     code = lambda s: lambda x: F.when(s["q_delta"] == 0, F.lit(0)).otherwise(
         F.least(F.lit(CODE_MAX), F.floor((x.cast("double") - s["q_min"]) / F.nullif(s["q_delta"], F.lit(0.0)) + F.lit(0.5)).cast("int"))
     )
-    # the scale is bound to a variable: written into the inner function it would be found again for every component
-    return F.transform(F.array(scale), lambda s: F.struct(s["q_min"].alias("q_min"), s["q_delta"].alias("q_delta"), F.transform(v, code(s)).alias("q_codes")))[0]
+    return bound(scale, lambda s: F.struct(s["q_min"].alias("q_min"), s["q_delta"].alias("q_delta"), F.transform(v, code(s)).alias("q_codes")))
 
 
 def dequantize(q_min: Column, q_delta: Column, q_codes: Column) -> Column:
-    return F.transform(q_codes, lambda c: c.cast("double") * q_delta + q_min)
+    parts = F.struct(q_min.alias("q_min"), q_delta.alias("q_delta"), q_codes.alias("q_codes"))
+    return bound(parts, lambda s: F.transform(s["q_codes"], lambda c: c.cast("double") * s["q_delta"] + s["q_min"]))
 
 
 def hashed_unit(key: Column) -> Column:
