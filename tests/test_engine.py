@@ -69,6 +69,25 @@ def test_quantization_error_below_one_percent(spark):
     assert evaluate.quantization_error(df, df.where("vec_id < 20").select(F.col("vec_id").alias("qid"))).first()["max_error"] < 0.01
 
 
+def test_quantization_error_against_brute_force(spark, monkeypatch):
+    """Equal, near and odd rows, two widths, several blocks of queries; no distance is taken by the plan's own functions."""
+    monkeypatch.setattr(knn, "QUERY_BLOCK", 7)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(90, 16)).astype(np.float32)
+    x[30:40], x[40:50] = x[:10], x[:10] + np.float32(1e-6)
+    data = [(i, v.tolist()) for i, v in enumerate(x)] + [(100, None), (102, [1.0, None]), (104, [1.0, 2.0, 3.0]), (105, [1.0, 2.5, 3.0]), (106, [])]
+    p = points.make_points(spark.createDataFrame(data, "vec_id long, embedding array<float>"), PARAMS).localCheckpoint()
+    back = dequantize(F.col("q_min"), F.col("q_delta"), F.col("q_codes"))
+    a = p.where("vec_id % 2 = 0").select(F.col("vec_id").alias("a"), F.col("embedding").alias("fa"), back.alias("qa"))
+    b = p.select(F.col("vec_id").alias("b"), F.col("embedding").alias("fb"), back.alias("qb"))
+    d = a.join(b, F.col("a") != F.col("b")).select(l2(F.col("fa"), F.col("fb")).alias("f"), l2(F.col("qa"), F.col("qb")).alias("q")).where("f > 0")
+    want = d.agg(F.count("*"), F.max(F.abs(F.col("f") - F.col("q")) / F.col("f"))).first()
+    monkeypatch.setattr(evaluate, "l2", None, raising=False)
+    queries = p.where("vec_id % 2 = 0").select(F.col("vec_id").alias("qid"))
+    assert tuple(evaluate.quantization_error(p, queries).first()) == tuple(want)
+    assert tuple(evaluate.quantization_error(p, queries.limit(0)).first()) == (0, None)
+
+
 def test_params():
     p = IndexParams(m=12)
     assert (p.ef_cons, p.mmax, p.mmax0) == (24, 12, 24) and p.ml == pytest.approx(1 / math.log(12))
