@@ -176,6 +176,23 @@ def test_scores_do_not_depend_on_partitions(spark, sf):
     assert all(many[i] == pytest.approx(one[i], rel=1e-5) for i in one)
 
 
+def test_spelling_learns_from_every_word(spark):
+    """Two buckets: weights follow the words of both, and are those of one bucket with all words."""
+    from vecstrata.llm import language_model as lm
+
+    rng = np.random.default_rng(2)
+    spell = lambda n, letters: [bytes(rng.choice(list(letters), rng.integers(2, 9)).astype(np.uint8)) for _ in range(n)]
+    row = lambda home, w: (home, bytearray(np.array([len(x) for x in w], "<u4").tobytes()), bytearray(b"".join(w)))
+    first, second = spell(300, b"abc"), spell(300, b"xyzw0189")
+    fit = lambda rows: lm.fit_spelling(spark.createDataFrame(rows, "home int, sizes binary, bytes binary").repartition(2, "home"))
+    two, one = fit([row(0, first), row(1, second)]), fit([row(0, first + second)])
+    assert np.allclose(two.weights, one.weights, atol=1e-4)
+    data, size = np.frombuffer(b"".join(first + second), np.uint8), np.array([len(x) for x in first + second])
+    left = two.slopes(data, lm.starts_of(size), size)[:, : lm.ORDERS] - (two.weights - lm.FIRST_WEIGHT)
+    begun = lm.Spelling(two.tables).slopes(data, lm.starts_of(size), size)[:, : lm.ORDERS]
+    assert np.abs(left).max() < 0.3 * np.abs(begun).max()
+
+
 def test_long_unknown_words_pay_for_every_byte(spark):
     """Junk without spaces: the cost grows with the length, beyond what half precision or a double's exponent holds."""
     rng = np.random.default_rng(4)

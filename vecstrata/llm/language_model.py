@@ -12,7 +12,7 @@ every word after the classes of the words before it.
   ``SEGMENT`` words, so segments are read side by side, and a score does not depend on its neighbours.
 * A word that training does not know is spelled bit by bit: predictors with hashed contexts (the last 1,
   2, 3 and 4 bytes and the bits so far), counted over all distinct training words, are mixed by gated
-  weights learned online on at most ``SPELL_SAMPLE`` of those words, the first by hash.  Words spelled before
+  weights, fitted to all of those words by ``SPELL_ROUNDS`` Newton steps.  Words spelled before
   in a text come again by an urn, and so do known and unknown words; an urn gives the same product in any
   order, so counts are enough.
 
@@ -47,12 +47,12 @@ LEAVES, CONTEXTS = 1 << LEAF_BITS, 1 << CONTEXT_BITS
 PRIOR, OWN_PRIOR, RATE_OF_TEXT = 1.0, 0.5, 0.04
 FIRST_WEIGHTS = (0.15, 0.5, 0.45, 0.2)
 ESCAPE_TRUST, NEW_WORD, LEAF_TRUST = 20.0, 2.0, 4.0
-SPELL_SAMPLE = 50_000
+SPELL_ROUNDS, FIRST_WEIGHT = 2, 0.3
 TABLE_BITS = (16, 17, 19, 19)
 ORDERS = len(TABLE_BITS)
+PAIRS = [(i, j) for i in range(ORDERS) for j in range(i, ORDERS)]
 LEVELS = 8
 STEP, LANES = 1 / 4096, 1024
-RATE = 0.002
 END, START = mix(np.array([0x656E64, 0x626567], U))
 FOLD_BYTE = np.arange(256, dtype=np.uint8)
 FOLD_BYTE[ord("A") : ord("Z") + 1] += 32
@@ -287,7 +287,7 @@ class Spelling:
 
     def __init__(self, tables: list[np.ndarray] | None = None, weights: np.ndarray | None = None):
         self.tables = tables or [np.zeros((2, 1 << b), np.float32) for b in TABLE_BITS]
-        self.weights = np.full((LEVELS * LEVELS, ORDERS), 0.3, np.float32) if weights is None else weights
+        self.weights = np.full((LEVELS * LEVELS, ORDERS), FIRST_WEIGHT, np.float32) if weights is None else weights
         self.ready = None
 
     def prepare(self) -> None:
@@ -325,9 +325,8 @@ class Spelling:
             if held:
                 t += np.bincount(np.concatenate(held), minlength=2 * t.shape[1]).reshape(-1, 2).T
 
-    def bits(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, learn: bool = False) -> np.ndarray:
-        """Bits that each word takes.  With ``learn`` the weights follow the gradient after every bit
-        of the batch, as a coder would, and a word's own count is left out of its contexts."""
+    def bits(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Bits that each word takes."""
         self.prepare()
         stretch, level = self.ready
         cost = np.zeros(len(start), np.float64)
@@ -335,31 +334,50 @@ class Spelling:
         for alive, slots, bit in self.walk(data, start, size):
             if not len(alive):
                 continue
-            if learn:
-                one = bit.astype(np.float32)
-                zeros = [np.maximum(t[0][s] - (1 - one), 0) for t, s in zip(self.tables, slots, strict=True)]
-                ones = [np.maximum(t[1][s] - one, 0) for t, s in zip(self.tables, slots, strict=True)]
-                x = [np.log((b + np.float32(0.4)) / (a + np.float32(0.4))) for a, b in zip(zeros, ones, strict=True)]
-                top, below = (np.minimum(LEVELS - 1, np.log2(zeros[o] + ones[o] + 1)).astype(np.uint8) for o in (-1, -2))
-            else:
-                x = [st[s] for st, s in zip(stretch, slots, strict=True)]
-                top, below = level[-1][slots[-1]], level[-2][slots[-2]]
-            gate = top.astype(np.intp) * LEVELS + below
+            x = [st[s] for st, s in zip(stretch, slots, strict=True)]
+            gate = level[-1][slots[-1]].astype(np.intp) * LEVELS + level[-2][slots[-2]]
             dot = w[0][gate] * x[0]
             for o in range(1, ORDERS):
                 dot += w[o][gate] * x[o]
             np.clip(dot, -20, 20, out=dot)
             cost[alive] += np.log1p(np.exp(np.where(bit, -dot, dot)))
-            if learn:
-                err = one - 1 / (1 + np.exp(-dot))
-                n = np.bincount(gate, minlength=len(self.weights))
-                rate = RATE * 50 * np.sqrt(np.maximum(1, n)) / (n + 50)
-                for o in range(ORDERS):
-                    w[o] += (rate * np.bincount(gate, err * x[o], len(self.weights))).clip(-0.05, 0.05).astype(np.float32)
-        if learn:
-            self.weights = np.stack(w, axis=1)
         return cost / np.log(2.0)
 
+    def slopes(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """For each gate the gradient of the log probability of the words by its weights, and the curvature (``PAIRS``).
+        A word's own count is left out of its contexts."""
+        out = np.zeros((LEVELS * LEVELS, ORDERS + len(PAIRS)))
+        w = [np.ascontiguousarray(self.weights[:, o]) for o in range(ORDERS)]
+        own = np.float32(0.4)
+        for _, slots, bit in self.walk(data, start, size):
+            if not len(bit):
+                continue
+            one = bit.astype(np.float32)
+            zeros = [np.maximum(t[0][s] - (1 - one), 0) for t, s in zip(self.tables, slots, strict=True)]
+            ones = [np.maximum(t[1][s] - one, 0) for t, s in zip(self.tables, slots, strict=True)]
+            x = [np.log((b + own) / (a + own)) for a, b in zip(zeros, ones, strict=True)]
+            top, below = (np.minimum(LEVELS - 1, np.log2(zeros[o] + ones[o] + 1)).astype(np.intp) for o in (-1, -2))
+            gate = top * LEVELS + below
+            dot = w[0][gate] * x[0]
+            for o in range(1, ORDERS):
+                dot += w[o][gate] * x[o]
+            p = 1 / (1 + np.exp(-np.clip(dot, -20, 20)))
+            err, bend = one - p, p * (1 - p)
+            for o in range(ORDERS):
+                out[:, o] += np.bincount(gate, err * x[o], len(out))
+            for c, (i, j) in enumerate(PAIRS):
+                out[:, ORDERS + c] += np.bincount(gate, bend * x[i] * x[j], len(out))
+        return out
+
+    def step(self, slopes: np.ndarray) -> None:
+        """A Newton step of the weights of each gate towards the most probable ones; ``FIRST_WEIGHT`` weighs as one bit."""
+        bend = np.zeros((len(slopes), ORDERS, ORDERS))
+        for c, (i, j) in enumerate(PAIRS):
+            bend[:, i, j] = bend[:, j, i] = slopes[:, ORDERS + c]
+        pull = slopes[:, :ORDERS] - (self.weights - FIRST_WEIGHT)
+        move = np.linalg.solve(bend + np.eye(ORDERS), pull[:, :, None])[:, :, 0]
+        self.weights = (self.weights + move.clip(-0.5, 0.5)).astype(np.float32)
+
 
 # Words of parts ------------------------------------------------------------------------------------
 
@@ -550,7 +568,7 @@ def in_groups(start: np.ndarray, size: np.ndarray, limit: int = 20_000):
 
 
 def fit_spelling(types: DataFrame) -> Spelling:
-    """Count all bit contexts, then learn the weights online on words of one bucket, which hashing chose."""
+    """Count all bit contexts, then fit the weights to all distinct training words by Newton steps."""
     chunk = 1 << 16
 
     def counted(batches):
@@ -577,12 +595,23 @@ def fit_spelling(types: DataFrame) -> Spelling:
     for r in cut(pieces, "spelling").collect():  # the tables have a fixed size
         o, lo = r["piece"] // 64, r["piece"] % 64 * chunk
         spelling.tables[o][:, lo : lo + chunk] = np.frombuffer(r["t"], np.float32).reshape(2, -1)
-    sample = types.orderBy("home").limit(1).select("sizes", "bytes").toArrow()
-    data, start, size = known_words(sample)
-    first = np.arange(min(len(size), SPELL_SAMPLE))
-    for at in in_groups(start[first], size[first], 500):
-        spelling.bits(data, start[first][at], size[first][at], learn=True)
-    spelling.ready = None
+    fixed = types.sparkSession.sparkContext.broadcast(spelling.tables)
+    for _ in range(SPELL_ROUNDS):
+
+        def sloped(batches, weights=spelling.weights):
+            s, total = Spelling(fixed.value, weights), 0
+            for batch in batches:
+                data, start, size = known_words(batch)
+                for at in in_groups(start, size):
+                    total = total + s.slopes(data, start[at], size[at])
+            if not np.isscalar(total):
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], names=["gate", "v"])
+
+        made = types.select("sizes", "bytes").mapInArrow(sloped, "gate int, v array<double>")
+        total = np.zeros((LEVELS * LEVELS, ORDERS + len(PAIRS)))
+        for r in made.groupBy("gate").agg(*[F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(total.shape[1])]).collect():  # one row a gate
+            total[r["gate"]] = r[1:]
+        spelling.step(total)
     return spelling
 
 
