@@ -4,6 +4,7 @@ import zlib
 
 import brute
 import numpy as np
+import pandas as pd
 import pytest
 from oracle import connect, differences
 from pyspark.sql import functions as F
@@ -83,6 +84,38 @@ def test_windows_cross_the_ends_of_parts(spark):
     assert rows(near_vectors.near_duplicates(df, passes=1, window=299)) == vectors_by_brute([(i, v.tolist()) for i, v in enumerate(x)])
 
 
+def test_check_finds_what_no_window_shows(spark):
+    """Windows of 8 in one pass show few of the pairs; the check gives the rest, their number and components."""
+    x = borderline(300, 16, 0.0, 100)
+    vectors = [(i, v.tolist()) for i, v in enumerate(x)] + [(400 + i, x[i].tolist()) for i in range(0, 150, 3)] + [(900, [1.0] * 8)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    assert rows(near_vectors.near_duplicates(df, passes=1, window=8)) == vectors_by_brute(vectors)
+    alone = rows(near_vectors.near_duplicates(df, passes=1, window=8, exact=False))
+    assert sum(r[1] for r in alone) < sum(r[1] for r in vectors_by_brute(vectors))
+
+
+def test_check_rules_out_blocks_by_balls_only(spark, monkeypatch):
+    """Blocks of 16 rows of tight clusters, of which some are at the threshold from each other, and of one large component."""
+    monkeypatch.setattr(near_vectors, "PACKED", 16)
+    rng = np.random.default_rng(3)
+    centers = borderline(24, 16, 0.0, 8)
+    x = np.concatenate([np.repeat(centers, 12, axis=0) + 0.004 * rng.normal(size=(288, 16)), centers[23] + 0.03 * rng.normal(size=(60, 16))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x.astype(np.float32))], "vec_id long, embedding array<float>")
+    vectors = [(i, v.tolist()) for i, v in enumerate(x.astype(np.float32))]
+    assert rows(near_vectors.near_duplicates(df, passes=1, window=4)) == vectors_by_brute(vectors)
+
+
+def test_no_borderline_pair_is_lost_at_size(spark, tmp_path):
+    """50,000 rows, 10,000 pairs: every link of brute force, with the passes as they come."""
+    x = borderline(50_000, 64, 0.0, 10_000).astype(np.float32)
+    u = x / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    n = np.concatenate([(u[lo : lo + 2000] @ u.T >= 0.9).sum(axis=1) - 1 for lo in range(0, len(u), 2000)])
+    pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": list(x)}).to_parquet(tmp_path / "x.parquet")
+    got = near_vectors.near_duplicates(spark.read.parquet(str(tmp_path / "x.parquet"))).toPandas().sort_values("vec_id")
+    assert n.sum() >= 20_000 and (got["n_links"].to_numpy() == n).all()
+    assert (got["component_id"].to_numpy()[10_000:20_000] <= np.arange(10_000)).all()
+
+
 # 2. language model
 
 
