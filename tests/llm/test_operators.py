@@ -202,6 +202,78 @@ def test_codes_do_not_depend_on_neighbours():
         assert order.bits(alone, gates[i : i + 1]) == pytest.approx(whole[every.first[i] : every.first[i + 1]], abs=1e-5)
 
 
+class Counted:
+    """numpy, with the sizes of what ``log`` is asked for."""
+
+    def __init__(self):
+        self.sizes = []
+
+    def __getattr__(self, name):
+        return getattr(np, name)
+
+    def log(self, x, *rest, **named):
+        self.sizes.append(np.size(x))
+        return np.log(x, *rest, **named)
+
+
+def codes_by_brute(q, leaves, tables, gate):
+    """Bits of one short text, bit after bit."""
+    lm, logit = language_model, lambda p: math.log(p / (1 - p))
+    every = leaves.sum(axis=0) + 0.5
+    mine = leaves[gate] + lm.GATE_TRUST * lm.LEAVES * every / every.sum()
+    weights, own, out = {}, {}, []
+    for leaf, *contexts in zip(q.leaf.tolist(), q.one, q.two):
+        out.append(0.0)
+        for k in range(lm.LEAF_BITS - 1, -1, -1):
+            lo, bit = leaf >> k + 1 << k + 1, leaf >> k & 1
+            place = lambda t: (t[lo + (1 << k) : lo + (2 << k)].sum(), t[lo : lo + (2 << k)].sum())  # noqa: E731, B023  ones, all
+            p0, p = (min(max(a / b, 1e-3), 1 - 1e-3) for a, b in map(place, (mine, every)))
+            seen = [place(t[c]) for t, c in zip(tables, contexts)]
+            x = [logit(p0), *[round(min(max(logit((a + lm.PRIOR * p) / (b + lm.PRIOR)), -7.9), 7.9) / lm.STEP) * lm.STEP for a, b in seen]]
+            a, b = own.get((lo, k), (0, 0))
+            own[lo, k] = a + bit, b + 1
+            x.append(math.log((a + lm.OWN_PRIOR * p0) / (b - a + lm.OWN_PRIOR * (1 - p0))))
+            w = weights.setdefault(tuple(min(lm.LEVELS - 1, int(math.log2(b + 1))) for _, b in seen), list(lm.FIRST_WEIGHTS))
+            sign = 2 * bit - 1
+            chance = 1 / (1 + math.exp(-sign * sum(u * v for u, v in zip(w, x))))
+            out[-1] -= math.log2(chance)
+            w[:] = [u + sign * lm.RATE_OF_TEXT * (1 - chance) * v for u, v in zip(w, x)]
+    return out
+
+
+def test_bits_of_a_code_find_their_predictions_at_once(monkeypatch):
+    """The codes of brute force, with one call a word and not one a bit."""
+    texts = ["the cat sat on the mat and the dog lay on the rug " * 15, "a b c d e f g h " * 10]
+    order, q = small_order(texts)
+    tables = [np.bincount(c << language_model.LEAF_BITS | q.leaf, minlength=language_model.CONTEXTS * language_model.LEAVES).reshape(language_model.CONTEXTS, -1) for c in (q.one, q.two)]
+    leaves = np.zeros((language_model.GATES, language_model.LEAVES))
+    leaves[0] = np.bincount(q.leaf, minlength=language_model.LEAVES)
+    counted = Counted()
+    monkeypatch.setattr(language_model, "np", counted)
+    for gate in (0, 2):
+        got = order.bits(q, np.full(2, gate))
+        for lo, hi in zip(q.first[:-1], q.first[1:]):
+            one = language_model.Sequence(q.hash[lo:hi], np.array([0, hi - lo]), q.leaf[lo:hi], q.one[lo:hi], q.two[lo:hi])
+            assert got[lo:hi] == pytest.approx(codes_by_brute(one, leaves, tables, gate), rel=1e-3, abs=1e-3)
+    assert len(counted.sizes) <= 2 * np.diff(q.first).max()
+
+
+def test_spelling_works_out_shared_contexts_once(monkeypatch):
+    """Words with the same bytes after the same four bytes: one piece of work, and the slopes and bits of each word alone."""
+    words = [f"{a}{b}{c}ionation".encode() for a in "abcdefgh" for b in "stuvwxyz" for c in "klmnopqr"]
+    data, size = np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words])
+    start, s = language_model.starts_of(size), language_model.Spelling()
+    s.count(data, start, size)
+    assert [t.sum() for t in s.tables] == [8 * (size + 1).sum()] * language_model.ORDERS
+    alone = sum(s.slopes(data, start[i : i + 1], size[i : i + 1]) for i in range(len(words)))
+    each = np.concatenate([s.bits(data, start[i : i + 1], size[i : i + 1]) for i in range(len(words))])
+    assert s.bits(data, start, size) == pytest.approx(each, rel=1e-9)
+    counted = Counted()
+    monkeypatch.setattr(language_model, "np", counted)
+    assert s.slopes(data, start, size) == pytest.approx(alone, rel=1e-5, abs=1e-3)
+    assert sum(counted.sizes) < language_model.ORDERS * 8 * (size + 1).sum() / 4
+
+
 def test_scores_do_not_depend_on_partitions(spark, sf):
     """Equal rows get equal scores however the table is dealt, and a shuffled text another score."""
     df = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")

@@ -39,11 +39,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import cut
-from .tokens import SPACED, U, binaries, heads_of, mix, release, small_batches, spread, text_bytes, text_slices, words
+from .tokens import SPACED, U, Words, binaries, heads_of, mix, release, small_batches, spread, text_bytes, text_slices, words
 
 GATES, ROUNDS, GATE_TRUST = 4, 2, 2.0
 LEAF_BITS, CONTEXT_BITS, SEGMENT = 8, 13, 256
 LEAVES, CONTEXTS = 1 << LEAF_BITS, 1 << CONTEXT_BITS
+HALF = LEAF_BITS // 2
+#: The place of the code at each of a row's numbers: those of the first half, then for each of its ends those of the second
+#: half, so that a code touches two short runs of memory.
+PLACES = np.concatenate([np.arange(1 << HALF), *[np.concatenate([[0], *[(end << k) + np.arange(1 << k) for k in range(HALF)]]) for end in range(1 << HALF, 2 << HALF)]])
 PRIOR, OWN_PRIOR, RATE_OF_TEXT = 1.0, 0.5, 0.04
 FIRST_WEIGHTS = (0.15, 0.5, 0.45, 0.2)
 ESCAPE_TRUST, NEW_WORD, LEAF_TRUST = 20.0, 2.0, 4.0
@@ -52,7 +56,7 @@ TABLE_BITS = (16, 17, 19, 19)
 ORDERS = len(TABLE_BITS)
 PAIRS = [(i, j) for i in range(ORDERS) for j in range(i, ORDERS)]
 LEVELS = 8
-STEP, LANES = 1 / 4096, 1024
+STEP, LANES = 1 / 4096, 2048
 END, START = mix(np.array([0x656E64, 0x626567], U))
 FOLD_BYTE = np.arange(256, dtype=np.uint8)
 FOLD_BYTE[ord("A") : ord("Z") + 1] += 32
@@ -64,9 +68,13 @@ SPACE = 0x20
 
 def histograms(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Square roots of the byte shares of each text, without case and without spaces."""
-    docs = len(offsets) - 1
-    doc = np.repeat(np.arange(docs, dtype=np.int32), np.diff(offsets))
-    n = np.bincount(doc * 256 + FOLD_BYTE[data], minlength=docs * 256).reshape(docs, 256).astype(np.float32)
+    at = offsets.tolist()
+    n = np.empty((len(at) - 1, 256), np.float32)
+    for i in range(len(n)):
+        n[i] = np.bincount(data[at[i] : at[i + 1]], minlength=256)
+    upper = np.flatnonzero(FOLD_BYTE != np.arange(256))
+    n[:, FOLD_BYTE[upper]] += n[:, upper]
+    n[:, upper] = 0
     n[:, SPACE] = 0
     return np.sqrt(n / np.maximum(1, n.sum(axis=1, keepdims=True)))
 
@@ -112,6 +120,15 @@ def fit_gates(train: DataFrame) -> np.ndarray:
     return centers
 
 
+def spaced(data: np.ndarray, offsets: np.ndarray, limit: int = 1 << 18) -> Words:
+    """Words of texts, found in runs of texts of about ``limit`` bytes, which stay near the processor."""
+    cuts = np.unique(np.concatenate([np.searchsorted(offsets, np.arange(0, offsets[-1], limit)), [0, len(offsets) - 1]])).tolist()
+    runs = [words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], SPACED) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+    base = offsets[cuts[:-1]].tolist()
+    start, end = (np.concatenate([getattr(r, c) + b for r, b in zip(runs, base, strict=True)]) for c in ("start", "end"))
+    return Words(data, start, end, np.searchsorted(start, offsets), np.concatenate([r.hash for r in runs]), offsets)
+
+
 # Order of words ---------------------------------------------------------------------------------
 
 
@@ -152,7 +169,7 @@ class Order:
     """For each context and place of the code: stretched chance of a one, and how much was seen.
 
     A place of a context is one number, so that it is one access to memory: its gate's share above 16 bits, and
-    the stretched chance in steps of ``STEP`` below."""
+    the stretched chance in steps of ``STEP`` below.  Places lie as ``PLACES`` says."""
 
     chance: np.ndarray
     prior: np.ndarray
@@ -170,8 +187,8 @@ class Order:
             p = (ones + np.float32(PRIOR) * chance[-1]) / (seen + np.float32(PRIOR))
             level = np.minimum(LEVELS - 1, np.log2(seen + 1)).astype(np.int32) * LEVELS ** (1 - i)
             steps = np.rint(np.clip(np.log(p / (1 - p)), -7.9, 7.9) / STEP).astype(np.int32)
-            contexts.append((level << 16 | steps + 32768).ravel())
-        return cls(chance[:-1].ravel(), np.log(chance / (1 - chance))[:-1].ravel(), contexts)
+            contexts.append((level << 16 | steps + 32768)[:, PLACES].ravel())
+        return cls(chance[:-1, PLACES].ravel(), np.log(chance / (1 - chance))[:-1, PLACES].ravel(), contexts)
 
     def bits(self, q: Sequence, gate_of: np.ndarray) -> np.ndarray:
         """Bits that the code of every token takes, by the gate of its text; segments of texts are lanes that are
@@ -182,51 +199,61 @@ class Order:
         begin = (np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * SEGMENT
         length = np.minimum(SEGMENT, size[text] - begin)
         order = np.argsort(-length, kind="stable")
-        start, length, group = (q.first[:-1][text] + begin)[order], length[order], (gate_of[text] * LEAVES)[order]
+        start, length, group = (q.first[:-1][text] + begin)[order], length[order], (gate_of[text] * len(PLACES))[order]
         out = np.zeros(len(q.hash), np.float32)
         for lo in range(0, len(start), LANES):  # as many lanes as stay near the processor
             self.read(q, start[lo : lo + LANES], length[lo : lo + LANES], group[lo : lo + LANES], out)
         return out
 
     def read(self, q: Sequence, start: np.ndarray, length: np.ndarray, group: np.ndarray, out: np.ndarray) -> None:
-        """Price the tokens of lanes, the longest first, into ``out``."""
-        lanes = len(start)
-        w = np.tile(np.array(FIRST_WEIGHTS, np.float32), (lanes * LEVELS * LEVELS, 1))
+        """Price the tokens of lanes, the longest first, into ``out``.
+
+        A code is known before it is priced, so all its bits find their predictions at once; only weights go bit by bit."""
+        lanes, f4 = len(start), np.float32
+        w = np.tile(np.array(FIRST_WEIGHTS, f4), (lanes * LEVELS * LEVELS, 1))
         rows = w.view(np.complex128).ravel()  # four weights of 4 bytes as one number of 16, moved at once
-        own = np.zeros(lanes * LEAVES, np.int32)  # for each place of a lane: seen above 16 bits, ones below
-        (one, two), f4 = self.contexts, np.float32
-        trust, rate, step, middle, unit = f4(OWN_PRIOR), f4(RATE_OF_TEXT), f4(STEP), f4(32768 * STEP), f4(1)
-        every = np.arange(lanes)
+        own = np.zeros(lanes * len(PLACES), np.int32)  # for each place of a lane: seen above 16 bits, ones below
+        one, two = self.contexts
+        trust, rate, step, middle, unit, most = f4(OWN_PRIOR), f4(RATE_OF_TEXT), f4(STEP), f4(32768 * STEP), f4(1), f4(40)
+        lane, gates = np.arange(lanes) * len(PLACES), np.arange(lanes) * (LEVELS * LEVELS)
+        down = np.arange(HALF, 0, -1)[:, None]
         for t in range(int(length[0])):
             n = int(np.searchsorted(-length, -t, "left"))
             at = start[:n] + t
-            leaf, c1, c2 = q.leaf[at], q.one[at].astype(np.int64) << LEAF_BITS, q.two[at].astype(np.int64) << LEAF_BITS
-            lane, gates, base = every[:n] * LEAVES, every[:n] * (LEVELS * LEVELS), group[:n]
-            node, chance = np.ones(n, np.int64), np.ones(n)
-            for k in range(LEAF_BITS - 1, -1, -1):
-                bit = (leaf >> k) & 1
-                v1, v2, mine, here = one.take(c1 + node), two.take(c2 + node), lane + node, base + node
-                both, p0 = own.take(mine), trust * self.chance.take(here)
-                ones, seen = (both & 0xFFFF).astype(f4), (both >> 16).astype(f4)
-                own[mine] = both + (0x10000 + bit)
-                x0 = self.prior.take(here)
-                x1 = (v1 & 0xFFFF).astype(f4) * step - middle
-                x2 = (v2 & 0xFFFF).astype(f4) * step - middle
-                x3 = np.log((ones + p0) / (seen - ones + (trust - p0)))
-                gate = gates + ((v1 >> 16) + (v2 >> 16))
-                picked = rows.take(gate)
-                u = picked.view(f4).reshape(n, 4)
-                sign = (2 * bit - 1).astype(f4)
-                dot = sign * (u[:, 0] * x0 + u[:, 1] * x1 + u[:, 2] * x2 + u[:, 3] * x3)
-                p = unit / (unit + np.exp(np.minimum(-dot, f4(40))))  # of the bit that came
-                chance *= p
-                err = sign * (rate * (unit - p))
-                for j, x in enumerate((x0, x1, x2, x3)):
-                    u[:, j] += err * x
-                rows[gate] = picked
-                node += node
-                node += bit
-            out[at] = -np.log2(chance)
+            leaf = q.leaf[at].astype(np.int64)
+            high, low = leaf >> HALF | 1 << HALF, leaf & (1 << HALF) - 1 | 1 << HALF
+            node = np.concatenate([high >> down, (low >> down) + (high - (1 << HALF) + 1 << HALF)])  # (bits, lanes), as all that follows
+            bit = np.concatenate([high >> down - 1, low >> down - 1]) & 1
+            v1, v2 = one.take(q.one[at].astype(np.int64) * len(PLACES) + node), two.take(q.two[at].astype(np.int64) * len(PLACES) + node)
+            here = group[:n] + node
+            mine = lane[:n] + node
+            both, p0 = own.take(mine), trust * self.chance.take(here)
+            own[mine.ravel()] = (both + (0x10000 + bit)).ravel()
+            ones, seen = (both & 0xFFFF).astype(f4), (both >> 16).astype(f4)
+            gate = gates[:n] + ((v1 >> 16) + (v2 >> 16))
+            x = np.empty((LEAF_BITS, 4, n), f4)
+            x[:, 0] = self.prior.take(here)
+            x[:, 1] = (v1 & 0xFFFF).astype(f4) * step - middle
+            x[:, 2] = (v2 & 0xFFFF).astype(f4) * step - middle
+            x[:, 3] = np.log((ones + p0) / (seen - ones + (trust - p0)))
+            x *= (1 - 2 * bit).astype(f4)[:, None]  # against the bit that came
+            chance, u, moved, dot = np.empty((LEAF_BITS, n), f4), np.empty((4, n), f4), np.empty((4, n), f4), np.empty(n, f4)
+            for k in range(LEAF_BITS):
+                picked = rows.take(gate[k])
+                held, p = picked.view(f4).reshape(n, 4).T, chance[k]
+                np.copyto(u, held)
+                np.multiply(u, x[k], out=moved)
+                np.add.reduce(moved, axis=0, out=dot)
+                np.minimum(dot, most, out=dot)
+                np.exp(dot, out=dot)
+                np.add(dot, unit, out=dot)
+                np.divide(unit, dot, out=p)  # of the bit that came
+                np.subtract(unit, p, out=dot)
+                np.multiply(dot, rate, out=dot)
+                np.multiply(x[k], dot, out=moved)
+                np.subtract(u, moved, out=held)
+                rows[gate[k]] = picked
+            out[at] = -np.log2(np.multiply.reduce(chance, axis=0, dtype=np.float64))
 
 
 def places(leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -240,38 +267,50 @@ def places(leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ones, seen
 
 
-PIECE = 1 << 18
+PIECE, SALTS = 1 << 18, 64
 
 
-def count_contexts(train: DataFrame) -> list[np.ndarray]:
-    """Counts of leaves after each context, over all training texts: tables of fixed size, added up in two levels."""
+class Contexts:
+    """Counts of leaves after each context: tables of fixed size, that a task sends in pieces to be added up."""
 
-    def counted(batches):
-        tables = [np.zeros(CONTEXTS * LEAVES, np.uint32) for _ in range(2)]
-        for batch in batches:
-            for _, _, data, offsets in text_slices(batch.column("text")):
-                q = Sequence.of(words(data, offsets, SPACED))
-                for t, c in zip(tables, (q.one, q.two), strict=True):
-                    cell, n = np.unique(c << LEAF_BITS | q.leaf, return_counts=True)
-                    t[cell] += n.astype(np.uint32)
-        release()
-        rows = [(o * 64 + lo // PIECE, t[lo : lo + PIECE]) for o, t in enumerate(tables) for lo in range(0, len(t), PIECE)]
-        rows = [(i, pa.compress(t.tobytes(), "zstd", asbytes=True)) for i, t in rows if t.any()]
-        salt = [TaskContext.get().partitionId() % 64] * len(rows)
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array(salt, pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["piece", "salt", "t"])
+    def __init__(self):
+        self.tables = [np.zeros(CONTEXTS * LEAVES, np.uint32) for _ in range(2)]
+
+    def add(self, q: Sequence) -> None:
+        for t, c in zip(self.tables, (q.one, q.two), strict=True):
+            cell, n = np.unique(c << LEAF_BITS | q.leaf, return_counts=True)
+            t[cell] += n.astype(np.uint32)
+
+    def sent(self, task: int) -> pa.RecordBatch:
+        """Rows of ``PART`` with homes below zero, so that they travel with the words; each piece goes to ``SALTS`` homes."""
+        rows = [(o * 64 + lo // PIECE, t[lo : lo + PIECE]) for o, t in enumerate(self.tables) for lo in range(0, len(t), PIECE)]
+        rows = [(-1 - (i * SALTS + task % SALTS), packed(t)) for i, t in rows if t.any()]
+        none = pa.nulls(len(rows), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([task] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary()), *[none] * 5], names=NAMES)
+
+
+def packed(t: np.ndarray) -> bytes:
+    return pa.compress(t.tobytes(), "zstd", asbytes=True)
+
+
+def opened(t: bytes) -> np.ndarray:
+    return np.frombuffer(pa.decompress(t, PIECE * 4, "zstd"), np.uint32)
 
-    def opened(t: bytes) -> np.ndarray:
-        return np.frombuffer(pa.decompress(t, PIECE * 4, "zstd"), np.uint32)
+
+def added_up(pieces: list[bytes]) -> bytes:
+    total = np.zeros(PIECE, np.uint64)
+    for t in pieces:
+        total += opened(t)
+    return packed(np.minimum(total, 2**32 - 1).astype(np.uint32))
+
+
+def context_counts(sums: DataFrame) -> list[np.ndarray]:
+    """The tables of all tasks, from rows ``home, hashes`` of pieces that were added up once."""
 
     def added(table: pa.Table) -> pa.Table:
-        total = np.zeros(PIECE, np.uint64)
-        for t in table.column("t").to_pylist():
-            total += opened(t)
-        whole = np.minimum(total, 2**32 - 1).astype(np.uint32)
-        return pa.table([pa.array([table.column("piece")[0].as_py()], pa.int32()), pa.array([pa.compress(whole.tobytes(), "zstd", asbytes=True)], pa.binary())], names=["piece", "t"])
+        return pa.table([pa.array([table.column("piece")[0].as_py()], pa.int32()), pa.array([added_up(table.column("t").to_pylist())], pa.binary())], names=["piece", "t"])
 
-    made = train.select("text").mapInArrow(counted, "piece int, salt int, t binary")
-    pieces = made.groupBy("piece", "salt").applyInArrow(added, "piece int, t binary").groupBy("piece").applyInArrow(added, "piece int, t binary")
+    pieces = sums.select(F.floor((-1 - F.col("home")) / SALTS).cast("int").alias("piece"), F.col("hashes").alias("t")).groupBy("piece").applyInArrow(added, "piece int, t binary")
     tables = [np.zeros(CONTEXTS * LEAVES, np.uint32) for _ in range(2)]
     for r in cut(pieces, "contexts").toLocalIterator():  # a fixed number of pieces of fixed size
         lo = r["piece"] % 64 * PIECE
@@ -297,51 +336,72 @@ class Spelling:
             self.ready = stretch, level
 
     @staticmethod
-    def walk(data: np.ndarray, start: np.ndarray, size: np.ndarray):
-        """Yield (alive words, slots of each order, bit) for every bit of all words and their ends."""
-        history = np.full(len(start), SPACE * 0x01010101, np.uint32)
-        alive = np.arange(len(start))
-        for pos in range(int(size.max(initial=0)) + 1):
-            alive = alive[size[alive] >= pos]
-            byte = np.full(len(alive), SPACE, np.uint8)
-            inside = size[alive] > pos
-            byte[inside] = FOLD_BYTE[data[start[alive[inside]] + pos]]
-            h = history[alive]
-            roots = [((h & np.uint32((1 << 8 * (o + 1)) - 1) if o < 3 else h) + np.uint32(o + 1)) * np.uint32(0x9E3779B1) for o in range(ORDERS)]
-            roots = [(r ^ (r >> np.uint32(15))) * np.uint32(0x85EBCA77) for r in roots]
-            node = np.ones(len(alive), np.uint32)
-            for k in range(7, -1, -1):
-                bit = (byte >> np.uint8(k)) & np.uint8(1)
-                yield alive, [((r + node * np.uint32(0xC2B2AE3D)) >> np.uint32(32 - b)).astype(np.int64) for r, b in zip(roots, TABLE_BITS, strict=True)], bit
-                node = node * np.uint32(2) + bit
-            history[alive] = (h << np.uint32(8)) | byte
+    def keys(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """For every byte of all words and their ends the four bytes before it and the byte, as one number."""
+        pos = np.arange(int(size.sum()) + len(size)) - np.repeat(starts_of(size + 1), size + 1)
+        byte = np.full(len(pos), SPACE, U)
+        byte[pos < np.repeat(size, size + 1)] = FOLD_BYTE[gather(data, start, size)]
+        out = byte.copy()
+        for j in range(1, 5):
+            before = np.full(len(pos), SPACE, U)
+            before[j:] = byte[:-j]
+            before[pos < j] = SPACE
+            out |= before << U(8 * j)
+        return out
+
+    @staticmethod
+    def walk(keys: np.ndarray):
+        """Yield (firsts of runs, slots of each order, bit) for every bit of sorted keys; keys that agree up to a bit are a run."""
+        for k in range(7, -1, -1):
+            head = heads_of(keys >> U(k))
+            key = keys[head]
+            h, byte = (key >> U(8)).astype(np.uint32), (key & U(255)).astype(np.uint32)
+            node = np.uint32(1 << 7 - k) | byte >> np.uint32(k + 1)
+            slots = []
+            for o, b in enumerate(TABLE_BITS):
+                r = ((h & np.uint32((1 << 8 * (o + 1)) - 1) if o < 3 else h) + np.uint32(o + 1)) * np.uint32(0x9E3779B1)
+                r = (r ^ (r >> np.uint32(15))) * np.uint32(0x85EBCA77)
+                slots.append(((r + node * np.uint32(0xC2B2AE3D)) >> np.uint32(32 - b)).astype(np.int64))
+            yield head, slots, (byte >> np.uint32(k) & np.uint32(1)).astype(np.uint8)
+
+    @classmethod
+    def runs(cls, keys: np.ndarray, times: np.ndarray, limit: int = 1 << 15):
+        """Yield (slots of each order, bit, times) for every bit of distinct sorted keys that occur so many times."""
+        for lo in range(0, len(keys), limit):
+            n = times[lo : lo + limit]
+            for head, slots, bit in cls.walk(keys[lo : lo + limit]):
+                yield slots, bit, np.add.reduceat(n, head)
 
     def count(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
-        seen: list[list[np.ndarray]] = [[] for _ in range(ORDERS)]
-        for _, slots, bit in self.walk(data, start, size):
-            for held, s in zip(seen, slots, strict=True):
-                held.append((s * 2 + bit).astype(np.int32))
-        for t, held in zip(self.tables, seen, strict=True):
-            if held:
-                t += np.bincount(np.concatenate(held), minlength=2 * t.shape[1]).reshape(-1, 2).T
-
-    def bits(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        held = [([], []) for _ in range(ORDERS)]
+        for slots, bit, n in self.runs(*np.unique(self.keys(data, start, size), return_counts=True)):
+            for (cells, times), s in zip(held, slots, strict=True):
+                cells.append((s * 2 + bit).astype(np.int32))
+                times.append(n)
+        for t, (cells, times) in zip(self.tables, held, strict=True):
+            if cells:
+                t += np.bincount(np.concatenate(cells), np.concatenate(times), 2 * t.shape[1]).reshape(-1, 2).T
+
+    def bits(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, limit: int = 1 << 15) -> np.ndarray:
         """Bits that each word takes."""
         self.prepare()
         stretch, level = self.ready
-        cost = np.zeros(len(start), np.float64)
+        if not len(start):
+            return np.zeros(0)
+        keys, back = np.unique(self.keys(data, start, size), return_inverse=True)
+        cost = np.zeros(len(keys), np.float64)
         w = [np.ascontiguousarray(self.weights[:, o]) for o in range(ORDERS)]
-        for alive, slots, bit in self.walk(data, start, size):
-            if not len(alive):
-                continue
-            x = [st[s] for st, s in zip(stretch, slots, strict=True)]
-            gate = level[-1][slots[-1]].astype(np.intp) * LEVELS + level[-2][slots[-2]]
-            dot = w[0][gate] * x[0]
-            for o in range(1, ORDERS):
-                dot += w[o][gate] * x[o]
-            np.clip(dot, -20, 20, out=dot)
-            cost[alive] += np.log1p(np.exp(np.where(bit, -dot, dot)))
-        return cost / np.log(2.0)
+        for lo in range(0, len(keys), limit):
+            own = cost[lo : lo + limit]
+            for head, slots, bit in self.walk(keys[lo : lo + limit]):
+                x = [st[s] for st, s in zip(stretch, slots, strict=True)]
+                gate = level[-1][slots[-1]].astype(np.intp) * LEVELS + level[-2][slots[-2]]
+                dot = w[0][gate] * x[0]
+                for o in range(1, ORDERS):
+                    dot += w[o][gate] * x[o]
+                np.clip(dot, -20, 20, out=dot)
+                own += np.repeat(np.log1p(np.exp(np.where(bit, -dot, dot))), np.diff(np.append(head, len(own))))
+        return np.add.reduceat(cost[back], starts_of(size + 1)) / np.log(2.0)
 
     def slopes(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         """For each gate the gradient of the log probability of the words by its weights, and the curvature (``PAIRS``).
@@ -349,9 +409,7 @@ class Spelling:
         out = np.zeros((LEVELS * LEVELS, ORDERS + len(PAIRS)))
         w = [np.ascontiguousarray(self.weights[:, o]) for o in range(ORDERS)]
         own = np.float32(0.4)
-        for _, slots, bit in self.walk(data, start, size):
-            if not len(bit):
-                continue
+        for slots, bit, n in self.runs(*np.unique(self.keys(data, start, size), return_counts=True)):
             one = bit.astype(np.float32)
             zeros = [np.maximum(t[0][s] - (1 - one), 0) for t, s in zip(self.tables, slots, strict=True)]
             ones = [np.maximum(t[1][s] - one, 0) for t, s in zip(self.tables, slots, strict=True)]
@@ -362,7 +420,7 @@ class Spelling:
             for o in range(1, ORDERS):
                 dot += w[o][gate] * x[o]
             p = 1 / (1 + np.exp(-np.clip(dot, -20, 20)))
-            err, bend = one - p, p * (1 - p)
+            err, bend = n * (one - p), n * (p * (1 - p))
             for o in range(ORDERS):
                 out[:, o] += np.bincount(gate, err * x[o], len(out))
             for c, (i, j) in enumerate(PAIRS):
@@ -400,7 +458,7 @@ class Part:
     """Words of consecutive slices of one task: distinct words, and which texts hold them how often."""
 
     def __init__(self):
-        self.docs, self.held, self.spelled, self.n, self.base = [], [], [], 0, 0
+        self.docs, self.held, self.spelled, self.n, self.base, self.words = [], [], [], 0, 0, 0
 
     def add(self, ids, held_out, gates, w, bits: np.ndarray | None) -> None:
         docs = len(w.first) - 1
@@ -410,26 +468,30 @@ class Part:
         h[at_word] = w.hash
         size, start = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
         size[at_word], start[at_word] = w.end - w.start, w.start
-        order = np.lexsort((h, q_doc))
+        order = np.argsort(h, kind="stable")
         hs, ds = h[order], q_doc[order]
-        head = np.flatnonzero(np.concatenate([[True], (hs[1:] != hs[:-1]) | (ds[1:] != ds[:-1])])) if len(hs) else np.zeros(0, np.int64)
+        new = np.concatenate([[True], hs[1:] != hs[:-1]]) if len(hs) else np.zeros(0, bool)
+        head = np.flatnonzero(new | np.concatenate([[True], ds[1:] != ds[:-1]])) if len(hs) else np.zeros(0, np.int64)
         tf = np.diff(np.append(head, len(hs)))
         cost = np.add.reduceat(bits[order].astype(np.float64), head) if bits is not None else np.zeros(len(head))
-        self.held.append((hs[head], (ds[head] + self.base).astype(np.int32), tf.astype(np.int32), cost.astype(np.float32)))
+        word = np.cumsum(new)[head] - 1 + self.words
+        by = np.argsort(ds[head].astype(np.min_scalar_type(docs)), kind="stable")  # by text, then by word
+        self.held.append((word[by].astype(np.int32), (ds[head][by] + self.base).astype(np.int32), tf[by].astype(np.int32), cost[by].astype(np.float32)))
         # bytes of the distinct words of this slice
-        u, at = np.unique(h, return_index=True)
-        self.spelled.append((u, size[at], gather(w.data, start[at], size[at])))
+        at = order[new]
+        self.spelled.append((hs[new], size[at], gather(w.data, start[at], size[at])))
         self.docs.append((ids, held_out, gates, np.diff(w.first) + 1))
         self.n += len(h)
         self.base += docs
+        self.words += len(at)
 
     def finish(self):
         """(ids, held, gates, n, owner, word index, tf, bits, hashes, starts, sizes, bytes): pairs sorted by text."""
         ids, held, gates, n = (np.concatenate(x) for x in zip(*self.docs, strict=True))
-        h, owner, tf, cost = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        word, owner, tf, cost = (np.concatenate(x) for x in zip(*self.held, strict=True))
         every, sizes, data = (np.concatenate(x) for x in zip(*self.spelled, strict=True))
-        u, at = np.unique(every, return_index=True)
-        return ids, held, gates, n, owner, np.searchsorted(u, h), tf, cost, u, starts_of(sizes)[at], sizes[at], data
+        u, at, back = np.unique(every, return_index=True, return_inverse=True)
+        return ids, held, gates, n, owner, back[word], tf, cost, u, starts_of(sizes)[at], sizes[at], data
 
 
 class Distinct:
@@ -441,13 +503,17 @@ class Distinct:
     def add(self, ids, held_out, gates, w, bits=None) -> None:
         docs = len(w.first) - 1
         h = np.concatenate([w.hash, np.full(docs, END, U)])
-        u, at, back = np.unique(h, return_index=True, return_inverse=True)
+        order = np.argsort(h)
+        hs = h[order]
+        head = heads_of(hs)
+        at = order[head]
         size = np.concatenate([w.end - w.start, np.zeros(docs, np.int64)])[at]
         start = np.concatenate([w.start, np.zeros(docs, np.int64)])[at]
-        doc = np.concatenate([w.doc, np.arange(docs)])
-        train = ~held_out[doc]
-        counts = np.bincount(back[train] * GATES + gates[doc[train]], minlength=len(u) * GATES).reshape(-1, GATES).astype(np.uint32)
-        self.held.append((u, size, gather(w.data, start, size), counts))
+        # held-out texts count in a place beyond the gates
+        place = np.where(held_out, GATES, gates)[np.concatenate([w.doc, np.arange(docs)])[order]]
+        word = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(hs))))
+        counts = np.bincount(word * (GATES + 1) + place, minlength=len(head) * (GATES + 1)).reshape(-1, GATES + 1)[:, :GATES].astype(np.uint32)
+        self.held.append((hs[head], size, gather(w.data, start, size), counts))
         self.n += len(h)
         self.base += docs
 
@@ -460,19 +526,22 @@ class Distinct:
         return every[at], starts_of(sizes)[at], sizes[at], data, np.add.reduceat(counts[order], head, axis=0)
 
 
-def parts(docs: DataFrame, entries: int, emit, centers: np.ndarray, kind, order=None) -> DataFrame:
+def parts(docs: DataFrame, entries: int, emit, centers: np.ndarray, kind, order=None, contexts: bool = False) -> DataFrame:
     """Run ``emit(part number, part)`` for parts of a kind and of bounded size of each task; with ``order``, a broadcast
-    ``Order``, the codes of all tokens are priced."""
+    ``Order``, the codes of all tokens are priced; with ``contexts`` the leaves after each context are counted, too."""
     gates = docs.sparkSession.sparkContext.broadcast(centers)
 
     def run(batches):
-        part, number = kind(), TaskContext.get().partitionId() << 24
+        task = TaskContext.get().partitionId()
+        part, number, after = kind(), task << 24, Contexts() if contexts else None
         for batch in batches:
             ids = batch.column("doc_id").cast(pa.int64()).to_numpy(zero_copy_only=False)
             held = batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
             for lo, hi, data, offsets in text_slices(batch.column("text")):
-                w = words(data, offsets, SPACED)
+                w = spaced(data, offsets)
                 gate = nearest_gate(histograms(data, offsets), gates.value)
+                if after is not None:
+                    after.add(Sequence.of(w))
                 part.add(np.asarray(ids[lo:hi]), held[lo:hi], gate, w, order.value.bits(Sequence.of(w), gate) if order is not None else None)
                 if part.n >= 3 * entries // 2:  # tokens, so that parts of both kinds end alike
                     yield emit(number, part)
@@ -480,7 +549,9 @@ def parts(docs: DataFrame, entries: int, emit, centers: np.ndarray, kind, order=
                     release()
         if part.base:
             yield emit(number, part)
-        part = None
+        if after is not None:
+            yield after.sent(task)
+        part = after = None
         release()
 
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, PART)
@@ -518,9 +589,14 @@ TYPES = "home int, hashes binary, sizes binary, bytes binary, counts binary, sta
 
 
 def merged(sent: DataFrame) -> DataFrame:
-    """One row for each bucket: its distinct words with their counts, sums over them, and its counts of leaves."""
+    """One row for each bucket: its distinct words with their counts, sums over them, and its counts of leaves.  Homes
+    below zero hold counts of contexts, which are added up."""
+    names, kinds = [x.split()[0] for x in TYPES.split(", ")], (pa.int32(), *[pa.binary()] * 4, pa.list_(pa.float64()), pa.binary())
 
     def run(table: pa.Table) -> pa.Table:
+        home = table.column("home")[0].as_py()
+        if home < 0:
+            return pa.table([pa.array(c, k) for c, k in zip(([home], [added_up(table.column("hashes").to_pylist())], *[[None]] * 5), kinds, strict=True)], names=names)
         cols = {c: b"".join(table.column(c).to_pylist()) for c in ("hashes", "sizes", "bytes", "counts")}
         h, sizes = np.frombuffer(cols["hashes"], "<u8"), np.frombuffer(cols["sizes"], "<u4").astype(np.int64)
         data, counts = np.frombuffer(cols["bytes"], np.uint8), np.frombuffer(cols["counts"], "<u4").reshape(-1, GATES)
@@ -532,9 +608,8 @@ def merged(sent: DataFrame) -> DataFrame:
         stats = [float(every.sum()), float(len(every)), float((every == 1).sum())]
         leaf = leaf_of(h[at])
         leaves = np.stack([np.bincount(leaf, total[:, g], LEAVES) for g in range(GATES)])
-        row = [[table.column("home")[0].as_py()], [h[at].tobytes()], [sizes[at].astype("<u4").tobytes()], [gather(data, starts_of(sizes)[at], sizes[at]).tobytes()], [total.astype("<u8").tobytes()], [stats], [leaves.astype("<f8").tobytes()]]
-        kinds = (pa.int32(), *[pa.binary()] * 4, pa.list_(pa.float64()), pa.binary())
-        return pa.table([pa.array(c, k) for c, k in zip(row, kinds, strict=True)], names=[x.split()[0] for x in TYPES.split(", ")])
+        row = [[home], [h[at].tobytes()], [sizes[at].astype("<u4").tobytes()], [gather(data, starts_of(sizes)[at], sizes[at]).tobytes()], [total.astype("<u8").tobytes()], [stats], [leaves.astype("<f8").tobytes()]]
+        return pa.table([pa.array(c, k) for c, k in zip(row, kinds, strict=True)], names=names)
 
     return sent.groupBy("home").applyInArrow(run, TYPES)
 
@@ -560,11 +635,11 @@ def known_words(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(batch.column("bytes").to_pylist()), np.uint8), starts_of(sizes), sizes
 
 
-def in_groups(start: np.ndarray, size: np.ndarray, limit: int = 20_000):
-    """Words in batches of like length, so that few end early."""
-    order = np.argsort(size, kind="stable")
-    for lo in range(0, len(order), limit):
-        yield order[lo : lo + limit]
+def in_groups(size: np.ndarray, limit: int = 1 << 19):
+    """Words in batches of about ``limit`` bytes, or of one longer word."""
+    cuts = np.append(heads_of(np.cumsum(size + 1) // limit), len(size)).tolist()
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        yield slice(lo, hi)
 
 
 def fit_spelling(types: DataFrame) -> Spelling:
@@ -575,7 +650,7 @@ def fit_spelling(types: DataFrame) -> Spelling:
         s = Spelling()
         for batch in batches:
             data, start, size = known_words(batch)
-            for at in in_groups(start, size):
+            for at in in_groups(size):
                 s.count(data, start[at], size[at])
         rows = []
         for o, t in enumerate(s.tables):
@@ -602,7 +677,7 @@ def fit_spelling(types: DataFrame) -> Spelling:
             s, total = Spelling(fixed.value, weights), 0
             for batch in batches:
                 data, start, size = known_words(batch)
-                for at in in_groups(start, size):
+                for at in in_groups(size):
                     total = total + s.slopes(data, start[at], size[at])
             if not np.isscalar(total):
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], names=["gate", "v"])
@@ -669,7 +744,7 @@ def answered(asked: DataFrame, types: DataFrame, spelling, leaves: np.ndarray) -
         fresh, first, back = np.unique(q[~known], return_index=True, return_inverse=True)
         first = np.flatnonzero(~known)[first]
         spelled = np.zeros(len(fresh))
-        for at in in_groups(q_start[first], q_size[first]):
+        for at in in_groups(q_size[first]):
             spelled[at] = spelling.value.bits(q_data, q_start[first][at], q_size[first][at])
         bits[~known] = spelled[back][:, None]
         size = np.array(asked_n, np.int64)
@@ -754,10 +829,11 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     train = rows.where("not held_out")
     buckets, entries = spread(text_bytes(docs))
     centers = fit_gates(train)
-    types = cut(merged(parts(train, entries, counting(buckets), centers, Distinct)), "words")
+    both = cut(merged(parts(train, entries, counting(buckets), centers, Distinct, contexts=True)), "words")
+    types = both.where("home >= 0")
     n, v, once = (x or 0.0 for x in types.agg(*[F.sum(F.col("stats")[i]) for i in range(3)]).first())
     leaves = leaf_counts(types)
-    order = sc.broadcast(Order.of(leaves, count_contexts(train)))
+    order = sc.broadcast(Order.of(leaves, context_counts(both.where("home < 0"))))
     spelling = sc.broadcast(fit_spelling(types))
     escape = min(0.999, max(1e-4, (once + 1) / (n + 2)))  # the share of words seen once foretells that of unknown ones
     answers = answered(parts(rows, entries, asking(buckets), centers, Distinct), types.select("home", "hashes", "counts"), spelling, leaves)
